@@ -7,21 +7,42 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def pack_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, packed): the texts compressed, so that a join on doc_id moves fewer bytes. Null stays null."""
+    """(doc_id, tag, packed): the text's 64-bit hash, and the text compressed, so that a shuffle moves fewer bytes. Null stays null."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            text = b.column(1).cast(pa.binary())
+            text = b.column(2).cast(pa.binary())
             out = [packer.compress(x.as_buffer()) if x.is_valid else None for x in text]
-            yield pa.record_batch([b.column(0), pa.array(out, pa.binary())], ["doc_id", "packed"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "tag", "packed"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(pack, "doc_id long, packed binary")
+    return _tagged(docs).mapInArrow(pack, "doc_id long, tag long, packed binary")
+
+
+def _tagged(docs: DataFrame, *more) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), *more, text.alias("text"))
+
+
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, copied): tags of the texts under this id that a smaller id holds too, word for word and byte for byte."""
+    ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")
+    first = ids.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sum", "least")
+    return ids.join(first, "sum").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
+
+
+def is_copy() -> Column:
+    return F.coalesce(F.array_contains("copied", F.col("tag")), F.lit(False))
+
+
+def originals(packed: DataFrame, copies: DataFrame) -> DataFrame:
+    """(doc_id, packed) of the texts that no smaller id holds too."""
+    return packed.where("doc_id IS NOT NULL").join(copies, "doc_id", "left").where(~is_copy()).select("doc_id", "packed")
 
 
 def unpack_texts(column: pa.Array) -> pa.Array:
@@ -35,19 +56,20 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterato
             yield b.slice(i, rows)
 
 
-def map_texts(docs: DataFrame, f: Callable, schema: str, lower: bool = False) -> DataFrame:
-    """f(ids, words) -> arrays of one output batch, for each bounded piece of documents with an id."""
-    from palimpsest.llm.kernels import words
+def map_packed(rows: DataFrame, f: Callable, schema: str, lower: bool = False) -> DataFrame:
+    """f(ids, words, lists) -> arrays of one output batch, for each bounded piece of (doc_id, packed[, keys])."""
+    from palimpsest.llm.kernels import lists, words
 
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches):
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            for w in words(b.column(1), lower):
-                yield pa.record_batch([pa.array(x) for x in f(ids[w.first : w.end], w)], names)
+            row, keys = lists(b.column(2)) if b.num_columns > 2 else (np.zeros(0, int), np.zeros(0, np.uint64))
+            for w in words(unpack_texts(b.column(1)), lower):
+                own = (row >= w.first) & (row < w.end)
+                yield pa.record_batch([pa.array(x) for x in f(ids[w.first : w.end], w, (row[own] - w.first, keys[own]))], names)
 
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.packed import longs, map_texts, pack_texts, small_batches, unpack_texts
+from palimpsest.llm.packed import is_copy, later_copies, longs, map_packed, originals, pack_texts, small_batches, unpack_texts
 
 
 def level_lengths(window: int, first: int = 8) -> list[int]:
@@ -37,60 +37,56 @@ def _candidates(w: K.Words, known: tuple[np.ndarray, np.ndarray], short: int, le
     return at, hashes[at]
 
 
-def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
+def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
     """(doc_id, keys): per document the hashes of its windows that also start in a document with a smaller id."""
     lengths = level_lengths(window)
     if len(lengths) == 1:
-        lengths = [max(1, window - 1), window] if window > 1 else [1, 1]
+        lengths = [max(1, window - 1), window]
 
-    def first(ids: np.ndarray, w: K.Words) -> tuple:
+    def first(ids: np.ndarray, w: K.Words, _) -> tuple:
         grams = K.ngrams(w.hashes, lengths[0])
         whole = K.same_row(w.row, lengths[1])
         at = np.unique(K.leftmost_minimum(grams, lengths[1] - lengths[0] + 1)[: len(whole)][whole]) if len(whole) else np.zeros(0, int)
         row, keys = K.distinct_pairs(w.row[at], grams[at])
         return longs(keys), ids[row].astype(np.int64)
 
-    rows = map_texts(docs, first, "key long, doc_id long")
-    packed = pack_texts(docs.where("doc_id IS NOT NULL"))
+    def extend(short: int, length: int, thinned: bool):
+        def f(ids: np.ndarray, w: K.Words, known: tuple) -> tuple:
+            at, hashes = _candidates(w, known, short, length, thinned)
+            row, keys = K.distinct_pairs(w.row[at], hashes)
+            return longs(keys), ids[row].astype(np.int64)
+
+        return f
+
+    rows = map_packed(texts, first, "key long, doc_id long")
     for k, length in enumerate(lengths[1:], 1):
         repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         known = rows.join(repeated, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-        rows = packed.join(known, "doc_id").mapInArrow(_extend(lengths[k - 1], length, k == 1), "key long, doc_id long")
+        rows = map_packed(texts.join(known, "doc_id"), extend(lengths[k - 1], length, k == 1), "key long, doc_id long")
     least = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
     return rows.join(least, "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
-def _extend(short: int, length: int, thinned: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches):
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            set_row, set_keys = K.lists(b.column(2))
-            for w in K.words(unpack_texts(b.column(1))):
-                own = (set_row >= w.first) & (set_row < w.end)
-                at, hashes = _candidates(w, (set_row[own] - w.first, set_keys[own]), short, length, thinned)
-                row, keys = K.distinct_pairs(w.row[at], hashes)
-                yield pa.record_batch([pa.array(longs(keys)), pa.array(ids[w.first : w.end][row].astype(np.int64))], ["key", "doc_id"])
-
-    return run
-
-
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256 of every row.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D. A word goes if a window of so many consecutive words
     that covers it also starts in a document with a smaller doc_id; windows are judged on the input. Shorter windows
     (half the length) are counted first, thinned so that every full window keeps at least one of them, and only
-    where these repeat are windows of twice the length formed, until the full length is reached.
+    where these repeat are windows of twice the length formed, until the full length is reached. A text that a smaller
+    id holds too, byte for byte, goes whole (if it has a window) and is left out of the levels.
 
     A null or empty text has no words, its hash is that of the empty text. Fewer words than a window: nothing goes.
     Rows with a null doc_id take no part and keep all their words. Rows that repeat a doc_id are judged alike, never
     against each other. An empty table gives no rows; other columns are ignored. Windows are compared by 64-bit hash.
     """
-    flagged = repeated_windows(docs, window)
+    packed, copies = pack_texts(docs), later_copies(docs)
+    flagged = repeated_windows(originals(packed, copies), window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             set_row, set_keys = K.lists(b.column(2))
+            copied = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
             for w in K.words(unpack_texts(b.column(1))):
                 own = (set_row >= w.first) & (set_row < w.end)
                 starts = np.zeros(0, int)
@@ -99,12 +95,14 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
                     hit = K.in_sets(w.row[: len(ok)], K.ngrams(w.hashes, window), set_row[own] - w.first, set_keys[own])
                     starts = np.flatnonzero(hit & ok)
                 gone = K.spread(starts, window, len(w.row))
+                counts = np.bincount(w.row, minlength=w.end - w.first)
+                gone |= (copied[w.first : w.end] & (counts >= window))[w.row]
                 texts = joined_words(w, ~gone)
                 n = w.end - w.first
                 yield pa.record_batch(
                     [
                         b.column(0).slice(w.first, n),
-                        pa.array(np.bincount(w.row, minlength=n).astype(np.int64)),
+                        pa.array(counts.astype(np.int64)),
                         pa.array(np.bincount(w.row[gone], minlength=n).astype(np.int64)),
                         pa.array([str(x, "utf-8", "replace") for x in texts], pa.string()),
                         pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
@@ -112,7 +110,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"],
                 )
 
-    rows = pack_texts(docs).join(flagged, "doc_id", "left").select("doc_id", "packed", "keys")
+    rows = packed.join(copies, "doc_id", "left").join(flagged, "doc_id", "left").select("doc_id", "packed", "keys", is_copy().alias("copy"))
     return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
