@@ -36,13 +36,18 @@ def later_copies(docs: DataFrame) -> DataFrame:
     return ids.join(first, "sum").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
 
 
+def with_and_without_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Packed rows with a doc_id, which one exchange can then serve in every join on it, and the few others."""
+    return pack_texts(docs.where("doc_id IS NOT NULL")), pack_texts(docs.where("doc_id IS NULL"))
+
+
 def is_copy() -> Column:
     return F.coalesce(F.array_contains("copied", F.col("tag")), F.lit(False))
 
 
 def originals(packed: DataFrame, copies: DataFrame) -> DataFrame:
     """(doc_id, packed) of the texts that no smaller id holds too."""
-    return packed.where("doc_id IS NOT NULL").join(copies, "doc_id", "left").where(~is_copy()).select("doc_id", "packed")
+    return packed.join(copies, "doc_id", "left").where(~is_copy()).select("doc_id", "packed")
 
 
 def unpack_texts(column: pa.Array) -> pa.Array:

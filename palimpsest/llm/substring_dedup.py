@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.packed import is_copy, later_copies, longs, map_packed, originals, pack_texts, small_batches, unpack_texts
+from palimpsest.llm.packed import is_copy, later_copies, longs, map_packed, originals, small_batches, unpack_texts, with_and_without_id
 
 
 def level_lengths(window: int, first: int = 8) -> list[int]:
@@ -80,7 +80,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     Rows with a null doc_id take no part and keep all their words. Rows that repeat a doc_id are judged alike, never
     against each other. An empty table gives no rows; other columns are ignored. Windows are compared by 64-bit hash.
     """
-    packed, copies = pack_texts(docs), later_copies(docs)
+    packed, without_id = with_and_without_id(docs)
+    copies = later_copies(docs)
     flagged = repeated_windows(originals(packed, copies), window)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +112,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
                 )
 
     rows = packed.join(copies, "doc_id", "left").join(flagged, "doc_id", "left").select("doc_id", "packed", "keys", is_copy().alias("copy"))
+    rows = rows.unionByName(without_id.select("doc_id", "packed", F.array().cast("array<long>").alias("keys"), F.lit(False).alias("copy")))
     return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
 
 
