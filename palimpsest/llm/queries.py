@@ -4,13 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from palimpsest.llm import chat_format, html_extract, language_id, mixing, secret_scan, topk_search
 from palimpsest.llm.substring_dedup import dedup_substrings
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(_table(spark, sf_dir, "documents"))
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.format_digest(chat_format.with_control_conversation(_table(spark, sf_dir, "conversations")))
+
+
+def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search_digest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op9_substring_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op5_html_extract, op7_language_id, op8_mix_sources, op9_substring_dedup)}
 ORACLE_SQL: dict[str, str] = {}

@@ -44,9 +44,10 @@ def state(c: Column) -> Column:
     return F.when(at > 0, at).otherwise(STATES - 1)
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 0.5, prior: float = 5.0) -> list[float]:
     """Log-likelihood ratio of each pair of character states, random over ordinary, from (token, is_random).
 
+    A pair's probability backs off to that of its second character alone, which weighs as much as prior sightings.
     Null or empty tokens count for nothing; with no samples of a kind its model is uniform. The counts come back to
     the driver as at most 2 * STATES^2 rows.
     """
@@ -55,11 +56,13 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     pairs = samples.where("token <> ''").select("is_random", F.explode(step).alias("s")).groupBy("is_random", "s.a", "s.b").count().collect()
     logs = []
     for kind in (True, False):
-        counts = [[smoothing] * STATES for _ in range(STATES)]
+        counts = [[0] * STATES for _ in range(STATES)]
         for r in pairs:
             if r["is_random"] == kind:
                 counts[r["a"]][r["b"]] += r["count"]
-        logs.append([math.log(x / sum(row)) for row in counts for x in row])
+        alone = [smoothing + sum(row[b] for row in counts) for b in range(STATES)]
+        alone = [x / sum(alone) for x in alone]
+        logs.append([math.log((x + prior * p) / (sum(row) + prior)) for row in counts for x, p in zip(row, alone, strict=True)])
     return [round(a - b, 4) for a, b in zip(*logs, strict=True)]
 
 
@@ -68,7 +71,8 @@ def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
     states = [STATES - 1] * 128
     for i, c in enumerate(ALPHABET):
         states[ord(c)] = i + 1
-    of, table = F.lit(states), F.lit(ratios)
+    of = F.split(F.lit(",".join(map(str, states))), ",").cast("array<int>")
+    table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
     start = F.struct(F.lit(0).alias("a"), F.lit(0.0).alias("sum"))
 
     def step(acc: Column, c: Column) -> Column:
