@@ -21,6 +21,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_FOLD = _LOWER.copy()
+_FOLD[[x for x in range(33, 127) if not chr(x).isalnum()]] = 0x20
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 TOP = np.iinfo(U).max
 
@@ -89,10 +91,11 @@ class Words:
         return np.searchsorted(self.row, np.arange(self.end - self.first + 1))
 
 
-def words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
+def words(texts: pa.Array, lower: bool = False, fold: bool = False) -> Iterator[Words]:
+    """Words between white space; lower lowers A-Z, fold also takes ASCII punctuation for white space."""
     for first, end, data, off in text_pieces(texts):
-        if lower:
-            data = _LOWER[data]
+        if lower or fold:
+            data = (_FOLD if fold else _LOWER)[data]
         n = len(data)
         flag = np.zeros(n + 1, bool)
         solid = ~_SPACE[data]

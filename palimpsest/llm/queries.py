@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat_format, html_extract, language_id, mixing, secret_scan, topk_search
+from palimpsest.llm import chat_format, decontaminate, html_extract, language_id, mixing, secret_scan, topk_search
 from palimpsest.llm.substring_dedup import dedup_substrings
 
 
@@ -41,5 +41,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op5_html_extract, op7_language_id, op8_mix_sources, op9_substring_dedup)}
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op5_html_extract, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
