@@ -29,6 +29,13 @@ def _tagged(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), *more, text.alias("text"))
 
 
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, least): of every text under an id, the least id that holds it byte for byte."""
+    ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")
+    first = ids.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sum", "least")
+    return ids.join(first, "sum", "left").select("doc_id", "tag", F.coalesce("least", "doc_id").alias("least")).distinct()
+
+
 def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, copied): tags of the texts under this id that a smaller id holds too, word for word and byte for byte."""
     ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat_format, decontaminate, html_extract, language_id, mixing, secret_scan, topk_search
+from palimpsest.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, secret_scan, topk_search
 from palimpsest.llm.substring_dedup import dedup_substrings
 
 
@@ -24,6 +24,10 @@ def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.search_digest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
@@ -45,5 +49,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op5_html_extract, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op4_ngram_jaccard_join, op5_html_extract, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
