@@ -1,6 +1,6 @@
 """Numpy helpers that work on the UTF-8 bytes of an Arrow batch of texts.
 
-Each function sees one bounded piece of a batch (whole texts, about a megabyte
+Each function sees one bounded piece of a batch (whole texts, a quarter of a megabyte
 together unless one text alone is longer), so memory in a Python worker does
 not depend on the partition.
 """
@@ -57,7 +57,7 @@ def range_hash(sums: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return mix((sums[e] - sums[s]) * powers(len(sums))[1][s] + (e - s).astype(U))
 
 
-def text_pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_pieces(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows in them); null counts as empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
@@ -123,8 +123,15 @@ def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """For each window of so many values, the position of its leftmost least one."""
-    at, size = np.arange(len(values)), 1
+    """For each window of so many values, the position of its leftmost least one, by the upper 40 bits."""
+    n, low = len(values), U((1 << 24) - 1)
+    if n <= 1 << 24:
+        least, size = (values & ~low) | np.arange(n, dtype=U), 1
+        while size < width:
+            step = min(size, width - size)
+            least, size = np.minimum(least[:-step], least[step:]), size + step
+        return (least & low).astype(np.int64)
+    values, at, size = values >> U(24), np.arange(n), 1
     while size < width:
         step = min(size, width - size)
         a, b = at[:-step], at[step:]
@@ -160,7 +167,7 @@ def in_sets(row: np.ndarray, values: np.ndarray, set_row: np.ndarray, set_values
     """Whether each (row, value) is among the given ones."""
     if not len(row) or not len(set_row):
         return np.zeros(len(row), bool)
-    salt = mix(np.arange(max(int(row.max()), int(set_row.max())) + 1, dtype=U) + U(1))
+    salt = mix(mix(np.arange(max(int(row.max()), int(set_row.max())) + 1, dtype=U) + U(1 << 40)))
     return np.isin(values ^ salt[row], set_values ^ salt[set_row])
 
 

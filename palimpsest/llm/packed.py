@@ -36,6 +36,13 @@ def text_classes(docs: DataFrame) -> DataFrame:
     return ids.join(first, "sum", "left").select("doc_id", "tag", F.coalesce("least", "doc_id").alias("least")).distinct()
 
 
+def text_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, least, n): of every text under an id that more than one row holds, the least id and the number of rows."""
+    ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")
+    first = ids.groupBy("sum").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return ids.join(first, "sum").select("doc_id", "tag", "least", "n").distinct()
+
+
 def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, copied): tags of the texts under this id that a smaller id holds too, word for word and byte for byte."""
     ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, secret_scan, topk_search
+from palimpsest.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, secret_scan, suffix_dedup, topk_search
 from palimpsest.llm.substring_dedup import dedup_substrings
 
 
@@ -32,6 +32,11 @@ def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup_suffixes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_digest(_table(spark, sf_dir, "documents"))
 
@@ -49,5 +54,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op4_ngram_jaccard_join, op5_html_extract, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op4_ngram_jaccard_join, op5_html_extract, op6_suffix_dedup, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_decontaminate)}
 ORACLE_SQL: dict[str, str] = {}
