@@ -160,7 +160,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5,
     return spark.createDataFrame([], FOUND) if out is None else out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, all columns, whose document holds no item of the benchmark."""
-    found = contaminated(docs.select("doc_id", "text"), benchmark, threshold).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, least: int = 5, most_words: int = 2_000_000) -> DataFrame:
+    """The rows of docs, all columns, whose text holds no item of the benchmark; they stay where they are read."""
+    at = docs.columns.index("text")
+    for ids, held in item_blocks(benchmark, most_words):
+        shared = docs.sparkSession.sparkContext.broadcast((ids, held))  # at most most_words words
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            items = Items(*shared.value, least)
+            for b in batches:
+                bad = {w.first + r for w in K.words(b.column(at), fold=True) for r, *_ in _found(w, items, threshold)}
+                yield b.filter(pa.array([i not in bad for i in range(b.num_rows)], pa.bool_())) if bad else b
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

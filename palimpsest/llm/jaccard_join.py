@@ -213,3 +213,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     sizes = cut(_sizes(packed.unionByName(without_id), n))
     roots = components(links(texts, n, percent).unionByName(classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
     return sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of docs, all columns: of each component the one with the smallest doc_id.
+
+    Of rows that share a doc_id one stays; rows with a null doc_id stay.
+    """
+    first = jaccard_classes(docs.select("doc_id", "text"), n, percent).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

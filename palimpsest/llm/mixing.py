@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm.checkpoints import cut
 
+BROADCAST_SOURCES = 20_000
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -80,7 +81,10 @@ def mix_sources(docs: DataFrame, target_entropy: float | None = 0.95, max_repeti
     plan = sources.select("source", "tokens", weight.alias("weight"), quota.alias("quota"), F.floor(quota / F.col("tokens")).alias("full"), F.ceil(F.col("docs") / F.lit(block_docs)).cast("long").alias("blocks"))
 
     block = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "n_tokens"), "blocks")
-    dealt = rows.join(plan.select("source", "blocks"), "source").select("doc_id", "source", "n_tokens", block.alias("block"))
+    blocks = plan.select("source", "blocks")
+    if sources.count() <= BROADCAST_SOURCES:  # else the join shuffles, and skewed sources are split at run time
+        blocks = F.broadcast(blocks)
+    dealt = rows.join(blocks, "source").select("doc_id", "source", "n_tokens", block.alias("block"))
     sizes = dealt.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
     epochs = sizes.join(plan, "source").withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("full"))))
     order = Window.partitionBy("source", "epoch").orderBy(F.xxhash64(F.lit(seed), "source", "block", "epoch"), "block")
