@@ -75,12 +75,12 @@ def _prefix_rows(texts: DataFrame, n: int, percent: int, heavy: np.ndarray) -> D
     return map_packed(texts, f, "key long, doc_id long, at long", lower=True)
 
 
-def _sizes(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, tag, n_shingles) of packed rows."""
+def _sizes(docs: DataFrame, n: int, packed: bool = True) -> DataFrame:
+    """(doc_id, tag, n_shingles) of rows with their texts, packed or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            for w in K.words(unpack_texts(b.column(2)), lower=True):
+            for w in K.words(unpack_texts(b.column(2), packed), lower=True):
                 m = w.end - w.first
                 row, _ = shingle_sets(w, n)
                 yield pa.record_batch([b.column(0).slice(w.first, m), b.column(1).slice(w.first, m), pa.array(np.bincount(row, minlength=m).astype(np.int64))], ["doc_id", "tag", "n_shingles"])
@@ -210,7 +210,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     classes = cut(text_classes(docs))
     copies = classes.where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
     texts = originals(packed, copies)
-    sizes = cut(_sizes(packed.unionByName(without_id), n))
+    sizes = cut(_sizes(packed, n).unionByName(_sizes(without_id, n, packed=False)))
     roots = components(links(texts, n, percent).unionByName(classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
     return sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 

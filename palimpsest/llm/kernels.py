@@ -38,7 +38,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_powers[0]) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
+        size = 1 << max(18, int(n - 1).bit_length())
         for k, base in enumerate((_BASE, _INVERSE)):
             p = np.full(size, base, U)
             p[0] = 1

@@ -51,8 +51,12 @@ def later_copies(docs: DataFrame) -> DataFrame:
 
 
 def with_and_without_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Packed rows with a doc_id, which one exchange can then serve in every join on it, and the few others."""
-    return pack_texts(docs.where("doc_id IS NOT NULL")), pack_texts(docs.where("doc_id IS NULL"))
+    """Packed rows with a doc_id, which one exchange can then serve in every join on it, and the others, unpacked.
+
+    The others are in no join, so they need no packing, and a task needs no second Python worker to undo it.
+    """
+    others = _tagged(docs.where("doc_id IS NULL")).select("doc_id", "tag", F.col("text").cast("binary").alias("packed"))
+    return pack_texts(docs.where("doc_id IS NOT NULL")), others
 
 
 def is_copy() -> Column:
@@ -64,7 +68,9 @@ def originals(packed: DataFrame, copies: DataFrame) -> DataFrame:
     return packed.join(copies, "doc_id", "left").where(~is_copy()).select("doc_id", "packed")
 
 
-def unpack_texts(column: pa.Array) -> pa.Array:
+def unpack_texts(column: pa.Array, packed: bool = True) -> pa.Array:
+    if not packed:
+        return column.cast(pa.large_binary())
     reader = zstandard.ZstdDecompressor()
     return pa.array([reader.decompress(x.as_buffer()) if x.is_valid else None for x in column], pa.large_binary())
 

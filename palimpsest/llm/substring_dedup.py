@@ -84,11 +84,11 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     copies = later_copies(docs)
     flagged = repeated_windows(originals(packed, copies), window)
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             set_row, set_keys = K.lists(b.column(2))
             copied = b.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            for w in K.words(unpack_texts(b.column(1))):
+            for w in K.words(unpack_texts(b.column(1), packed)):
                 own = (set_row >= w.first) & (set_row < w.end)
                 starts = np.zeros(0, int)
                 if own.any():
@@ -112,8 +112,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
                 )
 
     rows = packed.join(copies, "doc_id", "left").join(flagged, "doc_id", "left").select("doc_id", "packed", "keys", is_copy().alias("copy"))
-    rows = rows.unionByName(without_id.select("doc_id", "packed", F.array().cast("array<long>").alias("keys"), F.lit(False).alias("copy")))
-    return rows.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
+    others = without_id.select("doc_id", "packed", F.array().cast("array<long>").alias("keys"), F.lit(False).alias("copy"))
+    schema = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
+    return rows.mapInArrow(finish, schema).unionByName(others.mapInArrow(lambda batches: finish(batches, packed=False), schema))
 
 
 def joined_words(w: K.Words, keep: np.ndarray) -> list[memoryview]:

@@ -86,18 +86,18 @@ def shared_offsets(order: list[tuple[int, int]], lefts: list[bytes], length: int
     """
     reach, m = length - length // 2, len(lefts)
     common = np.array([c for c, _ in order], np.int64)
-    back = np.zeros((m, reach + 1), U)
     held = np.zeros((m, reach), np.uint8)
     sizes = np.array([len(x) for x in lefts])
     for i, x in enumerate(lefts):
         held[i, : len(x)] = np.frombuffer(x[::-1], np.uint8)
-    np.cumsum((held.astype(U) + U(1)) * K.powers(reach)[0], axis=1, out=back[:, 1:])
-    back = K.mix(back)
+    back = np.zeros(m, U)
     out = np.zeros((m, reach + 1), bool)
     for o in range(reach + 1):
+        if o:
+            back += (held[:, o - 1].astype(U) + U(1)) * K.powers(reach)[0][o - 1]
         run = np.cumsum(common < length - o)
         enough = np.flatnonzero(sizes >= o)
-        keys = back[enough, o] ^ K.mix(K.mix(run[enough].astype(U) + U(1 << 40)))
+        keys = K.mix(back[enough]) ^ K.mix(K.mix(run[enough].astype(U) + U(1 << 40)))
         _, inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)
         out[enough, o] = counts[inverse] > 1
     return out
@@ -136,7 +136,9 @@ def _merge_runs(length: int):
             taken[r] += 1
         found = shared_offsets(order, left, length)
         some = np.flatnonzero(found.any(1))
-        return pa.table({"context": pa.array([ids[i] for i in some], pa.int64()), "offsets": pa.array([np.flatnonzero(found[i]).tolist() for i in some], pa.list_(pa.int32()))})
+        counts, (_, back) = found[some].sum(1), np.nonzero(found[some])
+        offsets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(back.astype(np.int32)))
+        return pa.table({"context": pa.array([ids[i] for i in some], pa.int64()), "offsets": offsets})
 
     return f
 
@@ -242,13 +244,13 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, bucket_rows: int = 20_000
     part = members.where("n = 1").join(windows, "context").groupBy("doc_id").agg(F.collect_list("context").alias("part"), F.collect_list("offsets").alias("offsets"))
     same = groups.where("n > 1").groupBy("doc_id").agg(F.collect_set("tag").alias("same"))
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finish(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             same_text = b.column(5).to_numpy(zero_copy_only=False).astype(bool)
             offsets = b.column(4)
-            for first, end, data, off in K.text_pieces(unpack_texts(b.column(1))):
+            for first, end, data, off in K.text_pieces(unpack_texts(b.column(1), packed)):
                 n = end - first
-                gone = removed(data, off, length, _own(b, 2, first, end), _own(b, 3, first, end), [x for i in range(first, end) for x in (offsets[i].as_py() or [])])
+                gone = removed(data, off, length, _own(b, 2, first, end), _own(b, 3, first, end), offsets.slice(first, end - first).flatten())
                 sizes = np.diff(off)
                 gone |= np.repeat(same_text[first:end] & (sizes >= length), sizes)
                 row = np.repeat(np.arange(n), sizes)
@@ -266,11 +268,12 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, bucket_rows: int = 20_000
     out = packed.join(whole, "doc_id", "left").join(part, "doc_id", "left").join(same, "doc_id", "left")
     out = out.select("doc_id", "packed", "whole", "part", "offsets", F.coalesce(F.array_contains("same", F.col("tag")), F.lit(False)).alias("same"))
     none = F.array().cast("array<long>")
-    out = out.unionByName(without_id.select("doc_id", "packed", none.alias("whole"), none.alias("part"), F.array().cast("array<array<int>>").alias("offsets"), F.lit(False).alias("same")))
-    return out.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    others = without_id.select("doc_id", "packed", none.alias("whole"), none.alias("part"), F.array().cast("array<array<int>>").alias("offsets"), F.lit(False).alias("same"))
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+    return out.mapInArrow(finish, schema).unionByName(others.mapInArrow(lambda batches: finish(batches, packed=False), schema))
 
 
-def removed(data: np.ndarray, off: np.ndarray, length: int, whole: tuple, part: tuple, offsets: list) -> np.ndarray:
+def removed(data: np.ndarray, off: np.ndarray, length: int, whole: tuple, part: tuple, offsets: pa.ListArray) -> np.ndarray:
     """Which bytes go: all windows around grams whose surroundings repeat, and the others found one by one."""
     edges = np.zeros(len(data) + 1, np.int32)
     if len(whole[0]) or len(part[0]):
@@ -279,9 +282,12 @@ def removed(data: np.ndarray, off: np.ndarray, length: int, whole: tuple, part:
         np.add.at(edges, a.low[full], 1)
         np.add.at(edges, a.high[full], -1)
         if len(part[0]):
-            by = {(int(r), int(c)): o for r, c, o in zip(*part, offsets, strict=True)}
+            by = {(int(r), int(c)): k for k, (r, c) in enumerate(zip(*part, strict=True))}
             for i in np.flatnonzero(K.in_sets(a.row, a.contexts, *part)).tolist():
-                back = np.array(by.get((int(a.row[i]), int(a.contexts[i])), []), np.int64)
+                k = by.get((int(a.row[i]), int(a.contexts[i])))
+                if k is None:
+                    continue
+                back = offsets[k].values.to_numpy().astype(np.int64)
                 np.add.at(edges, a.at[i] - back, 1)
                 np.add.at(edges, a.at[i] - back + length, -1)
     return np.cumsum(edges[:-1]) > 0
