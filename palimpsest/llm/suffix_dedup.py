@@ -175,9 +175,10 @@ def open_windows(texts: DataFrame, members: DataFrame, length: int, bucket_rows:
                 a = anchors(data, off, length)
                 wanted = np.flatnonzero(K.in_sets(a.row, a.contexts, *_own(b, 2, first, end)))
                 raw = data.tobytes()
+                spread = K.mix(K.mix(a.keys + U(1 << 41)))  # named grams have small hashes
                 for i in wanted.tolist():
                     at = int(a.at[i])
-                    bucket = (int(a.keys[i]) * buckets) >> 64
+                    bucket = (int(spread[i]) * buckets) >> 64
                     held.setdefault(bucket, []).append((raw[at : a.high[i]], raw[a.low[i] : at], int(a.contexts[i : i + 1].view(np.int64)[0])))
                 total += len(wanted)
                 if total > 50_000:
