@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm import kernels as K
 from palimpsest.llm.checkpoints import cut
@@ -75,17 +76,61 @@ def _prefix_rows(texts: DataFrame, n: int, percent: int, heavy: np.ndarray) -> D
     return map_packed(texts, f, "key long, doc_id long, at long", lower=True)
 
 
+def parity_bits(row: np.ndarray, keys: np.ndarray, rows: int) -> list[bytes]:
+    """Of each set, so many bits (a power of two, from the set's size up) as keys flip, each the one its low bits name.
+
+    Sets whose bits differ in d places differ in d keys at least; half as many bits come of a longer string by xor of its halves.
+    """
+    widths = np.left_shift(1, np.ceil(np.log2(np.maximum(np.bincount(row, minlength=rows), 64))).astype(np.int64))
+    ends = np.cumsum(widths)
+    at = (ends - widths)[row] + (keys & (widths - 1).astype(np.uint64)[row]).astype(np.int64)
+    data = np.packbits(np.bincount(at, minlength=int(ends[-1])).astype(np.uint8) & 1).tobytes() if rows else b""
+    return [data[e - n : e] for e, n in zip((ends // 8).tolist(), (widths // 8).tolist(), strict=True)]
+
+
 def _sizes(docs: DataFrame, n: int, packed: bool = True) -> DataFrame:
-    """(doc_id, tag, n_shingles) of rows with their texts, packed or not."""
+    """(doc_id, tag, n_shingles, bits) of rows with their texts, packed or not."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
             for w in K.words(unpack_texts(b.column(2), packed), lower=True):
                 m = w.end - w.first
-                row, _ = shingle_sets(w, n)
-                yield pa.record_batch([b.column(0).slice(w.first, m), b.column(1).slice(w.first, m), pa.array(np.bincount(row, minlength=m).astype(np.int64))], ["doc_id", "tag", "n_shingles"])
+                row, keys = shingle_sets(w, n)
+                bits = pa.array(parity_bits(row, keys, m), pa.binary())
+                yield pa.record_batch([b.column(0).slice(w.first, m), b.column(1).slice(w.first, m), pa.array(np.bincount(row, minlength=m).astype(np.int64)), bits], ["doc_id", "tag", "n_shingles", "bits"])
 
-    return docs.select("doc_id", "tag", "packed").mapInArrow(run, "doc_id long, tag long, n_shingles long")
+    return docs.select("doc_id", "tag", "packed").mapInArrow(run, "doc_id long, tag long, n_shingles long, bits binary")
+
+
+def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """How many keys two sets differ in at least, by their parity bits, for each pair."""
+    sizes_a, sizes_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.zeros(len(a), np.int64)
+    for m, k in np.unique(np.stack([sizes_a, sizes_b], 1), axis=0).tolist():
+        at = np.flatnonzero((sizes_a == m) & (sizes_b == k))
+        x, y = (np.frombuffer(b"".join(z[i] for i in at.tolist()), np.uint64).reshape(len(at), -1) for z in (a, b))
+        while x.shape[1] > y.shape[1]:
+            x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+        while y.shape[1] > x.shape[1]:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        out[at] = np.bitwise_count(x ^ y).sum(1)
+    return out
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits do not rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, 4096):
+            x, y = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
+            most = (x + y - least_difference(b.column(3).to_pylist(), b.column(5).to_pylist())) // 2
+            ok = pa.array(most >= -(-(x + y) * percent // (100 + percent)))
+            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+
+    side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(near)
+    return rows.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -109,76 +154,90 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, size_a long, size_b long, overlap long")
 
 
-def _list_pairs(percent: int):
+def _list_pairs(percent: int, rows_at_once: int = 100_000, pairs_at_once: int = 1_000_000):
     """Pairs of each index list: its rows, sorted, in blocks of one component, size and position; blocks that cannot reach the overlap are skipped whole."""
 
-    def pairs(root: np.ndarray, at: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-        new = np.ones(len(doc), bool)
-        new[1:] = (root[1:] != root[:-1]) | (at[1:] != at[:-1])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc))
-        size, position, owner = at[first] >> 32, at[first] & 0xFFFFFFFF, root[first]
-        out = []
-        for i in range(len(first) - 1):
-            j = np.arange(i + 1, len(first))
+    def ranges(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, number from 0) for counts[i] numbers of each i, not many more than pairs_at_once together."""
+        ends, at = np.cumsum(counts), 0
+        while at < len(counts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs_at_once, "right")))
+            part = counts[at:stop]
+            of = np.repeat(np.arange(at, stop), part)
+            yield of, np.arange(len(of)) - np.repeat(np.cumsum(part) - part, part)
+            at = stop
+
+    def changes(*columns: np.ndarray) -> np.ndarray:
+        new = np.ones(len(columns[0]), bool)
+        new[1:] = False
+        for c in columns:
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    def pairs(group: np.ndarray, root: np.ndarray, at: np.ndarray, doc: np.ndarray) -> Iterator[np.ndarray]:
+        first = changes(group, root, at)
+        counts = np.diff(np.append(first, len(doc)))
+        group, root, size, position = group[first], root[first], at[first] >> 32, at[first] & 0xFFFFFFFF
+        end = lambda starts: np.repeat(np.append(starts[1:], len(first)), np.diff(np.append(starts, len(first))))
+        after_root, after_list = end(changes(group, root)), end(changes(group))
+        for i, k in ranges(after_list - after_root):
+            j = after_root[i] + k
             room = 1 + np.minimum(size[i] - position[i] - 1, size[j] - position[j] - 1)
-            need = -(-(size[i] + size[j]) * percent // (100 + percent))
-            for k in j[(owner[j] != owner[i]) & (room >= need)]:
-                x, y = np.meshgrid(doc[first[i] : last[i]], doc[first[k] : last[k]])
-                out.append(np.stack([x.ravel(), y.ravel()], 1))
-        return out
+            fits = room >= -(-(size[i] + size[j]) * percent // (100 + percent))
+            i, j = i[fits], j[fits]
+            for of, n in ranges(counts[i] * counts[j]):
+                x, y = doc[first[i[of]] + n // counts[j[of]]], doc[first[j[of]] + n % counts[j[of]]]
+                yield np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        key = None
 
-        def finish() -> Iterator[pa.RecordBatch]:
-            if held:
-                m = np.concatenate(held)
-                found = pairs(m[:, 3], m[:, 4], m[:, 5])
-                if found:
-                    p = np.concatenate(found)
-                    yield pa.record_batch([pa.array(p.min(1)), pa.array(p.max(1))], ["a", "b"])
+        def search(m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            group = np.zeros(len(m), np.int64)
+            group[changes(m[:, 0], m[:, 1], m[:, 2])] = 1
+            for p in pairs(np.cumsum(group), m[:, 3], m[:, 4], m[:, 5]):
+                yield pa.record_batch([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
         for b in batches:
-            m = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
-            cuts = np.flatnonzero((m[1:, :3] != m[:-1, :3]).any(1)) + 1
-            for part in np.split(m, cuts):
-                if not len(part):
-                    continue
-                if key is not None and tuple(part[0, :3]) != key:
-                    yield from finish()
-                    held.clear()
-                key = tuple(part[0, :3])
-                held.append(part)
-        yield from finish()
+            held.append(np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1))
+            if sum(map(len, held)) >= rows_at_once:
+                m = np.concatenate(held)
+                last = int(changes(m[:, 0], m[:, 1], m[:, 2])[-1])  # the last list may go on
+                held = [m[last:]]
+                if last:
+                    yield from search(m[:last])
+        if held:
+            yield from search(np.concatenate(held))
 
     return run
 
 
-def links(texts: DataFrame, n: int, percent: int, list_block: int = 4096) -> DataFrame:
-    """(u, v): similar pairs of texts, enough of them to connect whatever is connected."""
+def links(texts: DataFrame, sketches: DataFrame, n: int, percent: int, list_block: int = 4096) -> DataFrame:
+    """(u, v): similar pairs of texts, enough of them to connect whatever is connected.
+
+    sketches: (doc_id, n_shingles, bits) of the texts.
+    """
+    of_key = Window.partitionBy("key")
     rows = _prefix_rows(texts, n, percent, _heavy_keys(texts, n))
-    repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    lists = cut(rows.join(repeated, "key"))
+    lists = cut(rows.select("*", F.count("*").over(of_key).alias("n"), F.min("doc_id").over(of_key).alias("head")).where("n > 1").drop("n"))
 
     # First each set is compared with one other: the head of most of its lists.
-    heads = lists.groupBy("key").agg(F.min("doc_id").alias("head"))
-    votes = lists.join(heads, "key").where("doc_id > head").groupBy("doc_id", "head").agg(F.count("*").alias("n"), F.max(F.shiftright("at", 32)).alias("size"))
+    votes = lists.where("doc_id > head").groupBy("doc_id", "head").agg(F.count("*").alias("n"), F.max(F.shiftright("at", 32)).alias("size"))
     chosen = votes.where("n * 20 >= size").groupBy("doc_id").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
-    near = cut(overlaps(chosen.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), texts, n))
+    near = cut(overlaps(possible(chosen.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), sketches, percent), texts, n))
     alike = F.col("overlap") >= least_overlap(F.col("size_a"), F.col("size_b"), percent)
     first = near.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
     roots = components(first)
 
     # Then lists are searched for pairs across components only.
     owned = lists.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "at", F.coalesce("root", "doc_id").alias("root"))
-    mixed = owned.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("key", F.ceil(F.col("n") / list_block).cast("long").alias("parts"))
+    mixed = owned.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high"), F.count("*").over(of_key).alias("n")).where("low < high")
+    mixed = mixed.withColumn("parts", F.ceil(F.col("n") / list_block).cast("long"))
     own = F.pmod(F.xxhash64("doc_id"), "parts")
-    dealt = owned.join(mixed, "key").select("key", "root", "at", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    dealt = mixed.select("key", "root", "at", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "root", "at", "doc_id")
     sorted_lists = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "root", "at")
-    pairs = cut(sorted_lists.mapInArrow(_list_pairs(percent), "a long, b long").distinct())
+    pairs = cut(possible(sorted_lists.mapInArrow(_list_pairs(percent), "a long, b long").distinct(), sketches, percent))
 
     # A pair's overlap differs from that of the sets they were compared with by no more than what those lack.
     leader = near.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), (F.col("size_b") - F.col("overlap")).alias("lacks"), F.col("size_b").alias("size"))
@@ -211,7 +270,7 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     copies = classes.where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
     texts = originals(packed, copies)
     sizes = cut(_sizes(packed, n).unionByName(_sizes(without_id, n, packed=False)))
-    roots = components(links(texts, n, percent).unionByName(classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
+    roots = components(links(texts, sizes.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct(), n, percent).unionByName(classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
     return sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
