@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from palimpsest.llm import kernels as K
 from palimpsest.llm.checkpoints import cut
 from palimpsest.llm.components import components
-from palimpsest.llm.packed import longs, map_packed, originals, small_batches, text_classes, unpack_texts, with_and_without_id
+from palimpsest.llm.packed import longs, map_packed, originals, pack_texts, small_batches, text_classes, unpack_texts, unpacked
 
 HEAVY = 65_536  # so many keys at most are ordered by frequency; the order bears on speed alone
 
@@ -88,12 +88,12 @@ def parity_bits(row: np.ndarray, keys: np.ndarray, rows: int) -> list[bytes]:
     return [data[e - n : e] for e, n in zip((ends // 8).tolist(), (widths // 8).tolist(), strict=True)]
 
 
-def _sizes(docs: DataFrame, n: int, packed: bool = True) -> DataFrame:
-    """(doc_id, tag, n_shingles, bits) of rows with their texts, packed or not."""
+def _sizes(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, tag, n_shingles, bits) of rows with their unpacked texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            for w in K.words(unpack_texts(b.column(2), packed), lower=True):
+            for w in K.words(unpack_texts(b.column(2), packed=False), lower=True):
                 m = w.end - w.first
                 row, keys = shingle_sets(w, n)
                 bits = pa.array(parity_bits(row, keys, m), pa.binary())
@@ -265,11 +265,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     their component is null. Rows that share a doc_id are one node. An empty table gives no rows; other columns are
     ignored. Shingles are compared by 64-bit hash.
     """
-    packed, without_id = with_and_without_id(docs)
+    packed = pack_texts(docs.where("doc_id IS NOT NULL"))
     classes = cut(text_classes(docs))
     copies = classes.where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
     texts = originals(packed, copies)
-    sizes = cut(_sizes(packed, n).unionByName(_sizes(without_id, n, packed=False)))
+    sizes = cut(_sizes(unpacked(docs), n))
     roots = components(links(texts, sizes.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct(), n, percent).unionByName(classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
     return sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 

@@ -55,8 +55,12 @@ def with_and_without_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     The others are in no join, so they need no packing, and a task needs no second Python worker to undo it.
     """
-    others = _tagged(docs.where("doc_id IS NULL")).select("doc_id", "tag", F.col("text").cast("binary").alias("packed"))
-    return pack_texts(docs.where("doc_id IS NOT NULL")), others
+    return pack_texts(docs.where("doc_id IS NOT NULL")), unpacked(docs.where("doc_id IS NULL"))
+
+
+def unpacked(docs: DataFrame) -> DataFrame:
+    """Rows as pack_texts() gives them, but with the text's own bytes."""
+    return _tagged(docs).select("doc_id", "tag", F.col("text").cast("binary").alias("packed"))
 
 
 def is_copy() -> Column:
