@@ -6,16 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.checkpoints import cut
+from palimpsest.llm.checkpoints import Tables, cut
 from palimpsest.llm.components import components
 from palimpsest.llm.packed import longs, map_packed, originals, pack_texts, small_batches, text_classes, unpack_texts, unpacked
 
-HEAVY = 65_536  # so many keys at most are ordered by frequency; the order bears on speed alone
+HEAVY = 262_144  # so many keys (2 MB) at most are ordered by frequency; the order bears on speed alone
 
 
 def shingle_sets(w: K.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -39,18 +40,28 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
-def _heavy_keys(texts: DataFrame, n: int, least: int = 4) -> np.ndarray:
-    """The most frequent shingles, rarest first: those that repeat inside some piece of the input are counted over all such pieces."""
+def _heavy_keys(texts: DataFrame, n: int, least: int = 3, together: int = 3_000_000) -> np.ndarray:
+    """The most frequent shingles, rarest first: those that repeat among so many in a row of the input are counted over all of it."""
 
-    def f(ids, w, _):
-        _, keys = shingle_sets(w, n)
-        keys, counts = np.unique(keys, return_counts=True)
-        many = counts >= least
-        return longs(keys[many]), counts[many].astype(np.int64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            many = counts >= least
+            return pa.record_batch([pa.array(longs(keys[many])), pa.array(counts[many].astype(np.int64))], ["key", "n"])
+
+        for b in small_batches(batches):
+            for w in K.words(unpack_texts(b.column(0)), lower=True):
+                held.append(shingle_sets(w, n)[1])
+                if sum(map(len, held)) > together:
+                    yield counted()
+        if held:
+            yield counted()
 
-    counted = map_packed(texts, f, "key long, n long", lower=True).groupBy("key").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "key").limit(HEAVY).collect()
-    return np.array([r["key"] for r in reversed(top)], np.int64).view(np.uint64)
+    top = texts.select("packed").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY)
+    return top.select("key").toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def _prefix_rows(texts: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
@@ -212,14 +223,14 @@ def _list_pairs(percent: int, rows_at_once: int = 100_000, pairs_at_once: int =
     return run
 
 
-def links(texts: DataFrame, sketches: DataFrame, n: int, percent: int, list_block: int = 4096) -> DataFrame:
+def links(texts: DataFrame, sketches: DataFrame, n: int, percent: int, tables: Tables, list_block: int = 4096) -> DataFrame:
     """(u, v): similar pairs of texts, enough of them to connect whatever is connected.
 
-    sketches: (doc_id, n_shingles, bits) of the texts.
+    sketches: (doc_id, n_shingles, bits) of the texts. The result needs the tables that are written on the way.
     """
     of_key = Window.partitionBy("key")
     rows = _prefix_rows(texts, n, percent, _heavy_keys(texts, n))
-    lists = cut(rows.select("*", F.count("*").over(of_key).alias("n"), F.min("doc_id").over(of_key).alias("head")).where("n > 1").drop("n"))
+    lists = tables.write(rows.select("*", F.count("*").over(of_key).alias("n"), F.min("doc_id").over(of_key).alias("head")).where("n > 1").drop("n"))
 
     # First each set is compared with one other: the head of most of its lists.
     votes = lists.where("doc_id > head").groupBy("doc_id", "head").agg(F.count("*").alias("n"), F.max(F.shiftright("at", 32)).alias("size"))
@@ -265,12 +276,19 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     their component is null. Rows that share a doc_id are one node. An empty table gives no rows; other columns are
     ignored. Shingles are compared by 64-bit hash.
     """
-    packed = pack_texts(docs.where("doc_id IS NOT NULL"))
     classes = cut(text_classes(docs))
     copies = classes.where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
-    texts = originals(packed, copies)
     sizes = cut(_sizes(unpacked(docs), n))
-    roots = components(links(texts, sizes.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct(), n, percent).unionByName(classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))))
+    same = classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    sketches = sizes.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct()
+
+    # The texts are dealt by document once, for all joins; what is kept on a lost executor's disk is made anew.
+    dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = pack_texts(docs.where("doc_id IS NOT NULL")).repartition(dealt, "doc_id").persist(StorageLevel.DISK_ONLY)
+    tables = Tables(docs.sparkSession)
+    roots = components(links(originals(packed, copies), sketches, n, percent, tables).unionByName(same))
+    packed.unpersist()
+    tables.drop()
     return sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
