@@ -26,7 +26,7 @@ def labelled_samples(docs: DataFrame, rows: int = 2000, randoms: int = 4000) ->
     chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
     words = (
         docs.join(F.broadcast(chosen), "doc_id", "left_semi")
-        .select(F.regexp_extract_all(F.substring("text", 1, 20_000), F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
+        .select(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
         .where("size(w) > 1")
         .select(F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))).alias("i", "p"))
     )
