@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.llm import kernels as K
 from palimpsest.llm.packed import is_copy, later_copies, longs, map_packed, originals, small_batches, unpack_texts, with_and_without_id
@@ -58,13 +59,14 @@ def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
 
         return f
 
+    of_key = Window.partitionBy("key")
     rows = map_packed(texts, first, "key long, doc_id long")
     for k, length in enumerate(lengths[1:], 1):
-        repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        known = rows.join(repeated, "key").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+        repeated = rows.select("key", "doc_id", F.count("*").over(of_key).alias("n")).where("n > 1")
+        known = repeated.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
         rows = map_packed(texts.join(known, "doc_id"), extend(lengths[k - 1], length, k == 1), "key long, doc_id long")
-    least = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("key", "least")
-    return rows.join(least, "key").where("doc_id > least").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
+    later = rows.select("key", "doc_id", F.min("doc_id").over(of_key).alias("least")).where("doc_id > least")
+    return later.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
 def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
