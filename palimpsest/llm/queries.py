@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, mixing, secret_scan, suffix_dedup, topk_search
+from palimpsest.llm.oracle import ORACLE_SQL as ORACLE_SQL
 from palimpsest.llm.substring_dedup import dedup_substrings
 
 
@@ -55,4 +56,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_topk_search, op4_ngram_jaccard_join, op5_html_extract, op6_suffix_dedup, op7_language_id, op8_mix_sources, op9_substring_dedup, op10_decontaminate)}
-ORACLE_SQL: dict[str, str] = {}
