@@ -24,7 +24,8 @@ def choose_pivots(vectors: DataFrame, pivots: int, sample: int) -> dict[int, np.
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(sample).collect()
     out: dict[int, np.ndarray] = {}
     for d in {len(r["vec"]) for r in rows}:
-        points = np.array([r["vec"] for r in rows if len(r["vec"]) == d], float).reshape(-1, d)
+        own = [r["vec"] for r in rows if len(r["vec"]) == d]
+        points = np.array(own, float).reshape(len(own), d)
         chosen, gap = [0], np.linalg.norm(points - points[0], axis=1)
         while len(chosen) < min(pivots, len(points)) and gap.max() > 0:
             chosen.append(int(gap.argmax()))

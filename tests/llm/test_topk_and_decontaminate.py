@@ -25,8 +25,8 @@ def brute_top(rows, k):
 def test_top_k_against_brute_force(spark, seed):
     r = random.Random(seed)
     base = [[r.uniform(-1, 1) for _ in range(6)] for _ in range(12)]
-    rows = [(i, [x + r.choice([0, 0, r.uniform(-0.1, 0.1)]) for x in r.choice(base)]) for i in range(500)]
-    rows += [rows[7], (900, None), (901, [1.0, None, 0, 0, 0, 0]), (902, [math.inf] * 6), (903, [math.nan] * 6), (None, base[0]), (1000, [0.5, 0.5]), (1001, [0.25, -1.0]), (100, base[1]), (1100, [])]
+    rows = [(i, [x + r.choice([0.0, 0.0, r.uniform(-0.1, 0.1)]) for x in r.choice(base)]) for i in range(500)]
+    rows += [rows[7], (900, None), (901, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (902, [math.inf] * 6), (903, [math.nan] * 6), (None, base[0]), (1000, [0.5, 0.5]), (1001, [0.25, -1.0]), (100, base[1]), (1100, [])]
     df = spark.createDataFrame([(i, v, 0.5) for i, v in rows], "vec_id long, embedding array<double>, score double")
     got = sorted(tuple(x) for x in topk_search.top_k(df, F.col("vec_id") % 100 == 0, row_block=128, query_block=2).collect())
     assert got == brute_top(rows, 10)
