@@ -45,7 +45,7 @@ def leveled_overflow_plan(files: DataFrame, trigger: int, base: int) -> DataFram
     sizes = files.where("level > 0").groupBy("level").agg(F.sum("data_bytes").alias("bytes"))
     capacity = F.least(F.lit(float(base)) * F.pow(F.lit(10.0), F.col("level") - 1), F.lit(float(MOST)))
     full = sizes.where(F.col("bytes") > capacity).agg(F.min("level").alias("full"))
-    calm = files.agg(F.count_if("level = 0").alias("n")).where(F.col("n") < trigger)
+    calm = files.agg(F.count_if(F.expr("level = 0")).alias("n")).where(F.col("n") < trigger)
     tagged = files.join(F.broadcast(full)).join(F.broadcast(calm), how="left_semi").where("full IS NOT NULL")
     oldest = tagged.where("level = full").agg(F.min("file_id").alias("file_id"))
     first = tagged.join(F.broadcast(oldest), "file_id", "left_semi")

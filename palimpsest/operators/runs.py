@@ -42,11 +42,11 @@ def manifest(runs: DataFrame) -> DataFrame:
 
 def manifest_violations(files: DataFrame, next_file_id: int, last_seq: int) -> DataFrame:
     """One row of counts that are all 0 in a valid manifest."""
-    twice = files.groupBy("file_id").agg(F.count("*").alias("n")).agg(F.count_if("n > 1").alias("repeated_ids"))
+    twice = files.groupBy("file_id").agg(F.count("*").alias("n")).agg(F.count_if(F.expr("n > 1")).alias("repeated_ids"))
     bad = files.agg(
         F.count_if((F.col("file_id") < 1) | (F.col("file_id") >= next_file_id)).alias("bad_ids"),
-        F.count_if("data_bytes <= 0").alias("bad_sizes"),
-        F.count_if("smallest_key > largest_key OR smallest_key = largest_key AND smallest_seq < largest_seq").alias("bad_bounds"),
+        F.count_if(F.expr("data_bytes <= 0")).alias("bad_sizes"),
+        F.count_if(F.expr("smallest_key > largest_key OR smallest_key = largest_key AND smallest_seq < largest_seq")).alias("bad_bounds"),
         F.count_if(F.greatest("smallest_seq", "largest_seq") > last_seq).alias("bad_seqs"),
     )
     return bad.join(F.broadcast(twice))

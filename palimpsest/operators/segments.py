@@ -66,7 +66,7 @@ def reset_sum(log: DataFrame, size, limit: int, chunk_rows: int = 500_000) -> Da
     rows = log.withColumn("bytes", size.cast("long")).withColumn("chunk", F.floor(F.col("seq") / chunk_rows).cast("long"))
     slim = rows.select("chunk", "seq", "bytes")
     steps = slim.groupBy("chunk").applyInPandas(_summary(limit), "chunk long, upto long, exit long, cuts long")
-    entries = steps.groupBy(F.lit(0)).applyInPandas(lambda pdf: _chain(limit)(pdf), "chunk long, missing long, segment long")
+    entries = steps.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_chain(limit), "chunk long, missing long, segment long")
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("seq")

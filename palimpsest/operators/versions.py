@@ -63,4 +63,4 @@ def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row: keys missing, keys too many, and values that differ."""
     e, a = expected.select("user_key", F.col("value").alias("e"), F.lit(1).alias("in_e")), actual.select("user_key", F.col("value").alias("a"), F.lit(1).alias("in_a"))
     both = e.join(a, "user_key", "full_outer")
-    return both.agg(F.count_if("in_a IS NULL").alias("missing"), F.count_if("in_e IS NULL").alias("extra"), F.count_if("in_a = 1 AND in_e = 1 AND NOT e <=> a").alias("different"), F.count_if("in_a = 1 AND in_e = 1 AND e <=> a").alias("equal"))
+    return both.agg(F.count_if(F.expr("in_a IS NULL")).alias("missing"), F.count_if(F.expr("in_e IS NULL")).alias("extra"), F.count_if(F.expr("in_a = 1 AND in_e = 1 AND NOT e <=> a")).alias("different"), F.count_if(F.expr("in_a = 1 AND in_e = 1 AND e <=> a")).alias("equal"))

@@ -35,10 +35,10 @@ def audit(log: DataFrame) -> DataFrame:
     """One row of counts that are all 0 in a sound log."""
     versions = log.groupBy("user_key", "seq", "op").agg(F.count("*").alias("n"))
     bad = log.agg(
-        F.count_if("user_key IS NULL").alias("null_keys"),
-        F.count_if(f"seq IS NULL OR seq < 0 OR seq > {MAX_SEQ}").alias("bad_seqs"),
-        F.count_if("op IS NULL OR op NOT IN (0, 1)").alias("bad_ops"),
-        F.count_if("op = 0 AND value IS NOT NULL OR op = 1 AND value IS NULL").alias("bad_values"),
+        F.count_if(F.expr("user_key IS NULL")).alias("null_keys"),
+        F.count_if(F.expr(f"seq IS NULL OR seq < 0 OR seq > {MAX_SEQ}")).alias("bad_seqs"),
+        F.count_if(F.expr("op IS NULL OR op NOT IN (0, 1)")).alias("bad_ops"),
+        F.count_if(F.expr("op = 0 AND value IS NOT NULL OR op = 1 AND value IS NULL")).alias("bad_values"),
     )
     twice = versions.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("long").alias("duplicates"))
     return bad.join(F.broadcast(twice))

@@ -133,7 +133,7 @@ def log_stats(spark, sf_dir):
     k, v = F.col("user_key"), F.col("value")
     total = lambda c, name: F.sum(c).cast("long").alias(name)
     return oplog.from_events(spark, sf_dir).agg(
-        F.count("*").alias("operations"), F.count_if("op = 1").alias("puts"), F.count_if("op = 0").alias("deletes"), F.max("seq").alias("last_seq"),
+        F.count("*").alias("operations"), F.count_if(F.expr("op = 1")).alias("puts"), F.count_if(F.expr("op = 0")).alias("deletes"), F.max("seq").alias("last_seq"),
         total(codec.user_bytes(k, v), "user_bytes"), total(codec.memtable_bytes(k, v), "memtable_bytes"), total(codec.wal_bytes(k, v), "wal_bytes"), total(codec.entry_bytes(k, v), "entry_bytes"),
     )
 
@@ -196,7 +196,7 @@ def leveled_l0_compact(spark, sf_dir):
     return after.groupBy("file_id", "level").agg(F.count("*").alias("entries"), F.min("user_key").alias("low"), F.max("user_key").alias("high"))
 
 
-@query(LEVELS + ", low_ AS (SELECT * FROM leveled WHERE level > 0), big AS (SELECT min(level) AS full FROM (SELECT level, sum(data_bytes) AS b FROM low_ GROUP BY level) WHERE b > 5000.0 * power(10, level - 1)), first_ AS (SELECT l.* FROM low_ l, big WHERE level = full ORDER BY file_id LIMIT 1) SELECT l.file_id, CAST(full + 1 AS INT) AS output_level FROM low_ l, big, first_ f WHERE l.file_id = f.file_id OR (l.level = full + 1 AND l.smallest_key <= f.largest_key AND l.largest_key >= f.smallest_key)")
+@query(LEVELS + ", low_ AS (SELECT * FROM leveled WHERE level > 0), big AS (SELECT min(level) AS deep FROM (SELECT level, sum(data_bytes) AS b FROM low_ GROUP BY level) WHERE b > 5000.0 * power(10, level - 1)), first_ AS (SELECT l.* FROM low_ l, big WHERE level = deep ORDER BY file_id LIMIT 1) SELECT l.file_id, CAST(deep + 1 AS INT) AS output_level FROM low_ l, big, first_ f WHERE l.file_id = f.file_id OR (l.level = deep + 1 AND l.smallest_key <= f.largest_key AND l.largest_key >= f.smallest_key)")
 def leveled_overflow_plan(spark, sf_dir):
     return compaction.leveled_overflow_plan(_levels(spark, sf_dir).where("level > 0"), 4, 5000)
 
@@ -240,7 +240,7 @@ def amplification(spark, sf_dir):
 
 @query("SELECT event_type, count(*) FILTER (user_id % 3 = 0) AS hits, count(*) FILTER (user_id % 3 <> 0) AS misses, CASE WHEN count(*) = 0 THEN 0.0 ELSE CAST(count(*) FILTER (user_id % 3 = 0) AS DOUBLE) / count(*) END AS hit_rate, count(*) * 1e9 / (count(*) * 1000) AS throughput FROM events GROUP BY event_type")
 def rates(spark, sf_dir):
-    by = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count_if("user_id % 3 = 0").alias("hits"), F.count_if("user_id % 3 <> 0").alias("misses"))
+    by = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count_if(F.expr("user_id % 3 = 0")).alias("hits"), F.count_if(F.expr("user_id % 3 <> 0")).alias("misses"))
     n = F.col("hits") + F.col("misses")
     return by.select("event_type", "hits", "misses", metrics.hit_rate(F.col("hits"), F.col("misses")).alias("hit_rate"), metrics.throughput(n, n * 1000).alias("throughput"))
 
