@@ -42,6 +42,7 @@ class Rules:
     short: int = 70
     long: int = 200
     few_stops: float = 0.12
+    few_stops_inside: float = 0.06
     many_stops: float = 0.25
     most_links: float = 0.2
     most_links_inside: float = 0.5
@@ -54,6 +55,7 @@ class Block:
     inside: bool
     heading: bool
     skipped: bool
+    code: bool = False
 
 
 def boilerplate_name(attributes: str) -> bool:
@@ -70,7 +72,7 @@ def blocks(page: str) -> list[Block]:
     """Blocks of text in page order, with the link characters in each, whether an article holds it, and whether markup says it is no content."""
     out: list[Block] = []
     parts: list[str] = []
-    links = inside = anchors = nested = 0
+    links = inside = anchors = nested = code = 0
     skip = ""
     heading = False
 
@@ -79,7 +81,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, inside > 0, heading, bool(skip)))
+                out.append(Block(text, links, inside > 0, heading, bool(skip), code > 0))
         parts.clear()
         links, heading = 0, False
 
@@ -125,6 +127,8 @@ def blocks(page: str) -> list[Block]:
             heading = tag[0] == "h" and tag[1:].isdigit() and not ending
             if tag in ("article", "main"):
                 inside = max(0, inside + (-1 if ending else 1))
+            if tag == "pre":
+                code = 0 if ending else 1
     close()
     return out
 
@@ -134,13 +138,24 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
+def no_prose(b: Block) -> bool:
+    """Code, or a plain-text table with a bar at least every four words: the share of frequent words says nothing of it."""
+    return b.code or b.text.count("|") >= max(3, len(b.text.split()) / 5)
+
+
 def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
-    """First each block alone is good, bad, near good or short; then short and near ones take the labels around them."""
+    """First each block alone is good, bad, near good or short; then short and near ones take the labels around them.
+
+    An <article> or <main> is evidence: in it more links and fewer frequent words are allowed, one good neighbour is
+    enough for a short block, and beyond its edges stands a good neighbour for blocks in it, a bad one for those outside. Where the text in it as a whole lacks
+    frequent words (another language), or a block is no prose, their share decides nothing there.
+    """
     article = any(b.inside and not b.skipped for b in found)
+    told = not article or stop_density(" ".join(b.text for b in found if b.inside and not b.skipped and not no_prose(b))) >= rules.few_stops_inside
     labels = []
     for b in found:
         linked = b.links / max(1, len(b.text))
-        if b.skipped or (article and not b.inside) or linked > (rules.most_links_inside if b.inside else rules.most_links):
+        if b.skipped or linked > (rules.most_links_inside if b.inside else rules.most_links):
             labels.append("bad")
         elif len(b.text) < rules.short:
             labels.append("bad" if b.links and not b.inside else "short")
@@ -148,25 +163,31 @@ def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
             stops = stop_density(b.text)
             if stops >= rules.many_stops:
                 labels.append("good" if len(b.text) >= rules.long or b.inside else "near")
+            elif b.inside and (not told or no_prose(b)):
+                labels.append("near")
             else:
-                labels.append("near" if stops >= rules.few_stops or b.inside else "bad")
-    before, after, last = [], [], None
-    for x in labels:
-        before.append(last)
-        last = x if x in ("good", "bad") else last
-    last = None
-    for x in reversed(labels):
-        after.append(last)
-        last = x if x in ("good", "bad") else last
-    after.reverse()
+                labels.append("near" if stops >= (rules.few_stops_inside if b.inside else rules.few_stops) else "bad")
+
+    def nearest(order: list[int]) -> list[str | None]:
+        out: list[str | None] = [None] * len(found)
+        last, region = None, None
+        for i in order:
+            if found[i].inside != region:
+                region = found[i].inside
+                last = ("good" if region else "bad") if article else None
+            out[i] = last
+            last = labels[i] if labels[i] in ("good", "bad") else last
+        return out
+
+    before, after = nearest(list(range(len(found)))), nearest(list(range(len(found)))[::-1])
     out = []
     for b, label, p, n in zip(found, labels, before, after, strict=True):
         if label in ("short", "near"):
             around = {p, n} - {None}
-            if around == {"good"} or b.inside:
+            if around == {"good"}:
                 label = "good"
             elif "good" in around:
-                label = "good" if label == "near" or (b.heading and n == "good") else "bad"
+                label = "good" if label == "near" or b.inside or (b.heading and n == "good") else "bad"
             else:
                 label = "good" if label == "near" and not around else "bad"
         if label == "good":
@@ -183,7 +204,8 @@ def extract(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
 
     Markup says first what is no content (menus, forms, footers, notices and the like, by tag, class, id or role); the
     other blocks are judged by link density, length and the share of frequent words, then short and doubtful ones by the
-    nearest decided blocks. Where a page marks its article, only blocks in it can count.
+    nearest decided blocks. That a page marks its article is evidence for the blocks in it and against the others, see
+    main_blocks().
 
     Null html counts as empty, and a page without main text gives ''. Character references are decoded; white space in
     a block becomes one space, and one space joins the blocks. Pages are judged one by one, whatever their length:

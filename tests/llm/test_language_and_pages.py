@@ -63,3 +63,21 @@ def test_every_page_has_a_row(spark):
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
     assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == sorted([("1", len(main_text(PAGE)))] * 2 + [("2", 0), ("None", 0), ("3", 3000 * (len(ARTICLE) + 1) - 1)])
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_blocks_in_an_article_are_judged_too():
+    advert = "Superphone Ultra 128GB sale: massive discounts, free shipping, lowest prices guaranteed, order online today!"
+    links = '<p><a href="/a">Superphone Ultra review, prices, discounts</a> <a href="/b">cheap phones online</a></p>'
+    page = f"<article><h1>A walk</h1><p>{ARTICLE}</p><p>{advert}</p><p>Buy now.</p>{links}<p>{ARTICLE}</p><p>Short end.</p></article>"
+    assert main_text(page) == f"A walk {ARTICLE} {ARTICLE} Short end."
+    assert main_text(page.replace("article>", "main>")) == main_text(page)
+
+
+def test_an_article_is_evidence_and_no_decision():
+    foreign = "Rzeka płynęła powoli obok starego domu, gdzie dawniej mieszkali rybacy wraz ze swoimi licznymi rodzinami."
+    table = "<p>alpha | beta | gamma | delta | epsilon | zeta | eta | theta | iota | kappa | lambda | omega | sigma</p>"
+    code = "<pre>print(total) if total else raise ValueError(message); return compute(total, factor=2, offset=3)</pre>"
+    assert main_text(f"<article><p>{foreign}</p><p>{foreign}</p></article>") == f"{foreign} {foreign}"
+    assert "omega" in main_text(f"<article><p>{ARTICLE}</p>{table}<p>{ARTICLE}</p></article>")
+    assert "factor=2" in main_text(f"<article><p>{ARTICLE}</p>{code}<p>{ARTICLE}</p></article>")
+    assert main_text(f"<article><p>{ARTICLE}</p></article><p>{ARTICLE} {ARTICLE}</p><p>Short one.</p>") == f"{ARTICLE} {ARTICLE} {ARTICLE}"
