@@ -23,18 +23,25 @@ plus pour qu que qui sa se ses son sont sur un une vous
 al como con cual de del el ella ellos en entre era es esta este ha hay la las lo los más mi muy no o para pero por que se sin sobre su sus también un una y ya
 """.split()
 )
-SKIPPED_TAGS = frozenset("nav footer aside form button select textarea iframe object dialog menu figure figcaption datalist fieldset label option video audio canvas map".split())
-RAW = "script|style|noscript|template|svg|math|head|title"
+SKIPPED_TAGS = frozenset("nav footer aside form button select textarea iframe object dialog menu datalist fieldset video audio canvas".split())
+RAW = "script|style|noscript|template|svg|annotation-xml|annotation|head|title"
 BLOCK_TAGS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr".split())
-NAMED = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisement|adbox|banner|promo|promotion|sponsored|sponsor|cookies?|consent|notice|alert|gdpr|popup|modal|overlay|newsletter|subscribe|signup|menu|nav|navbar|navigation|"
-    r"breadcrumbs?|sidebar|widget|footer|header|masthead|toolbar|share|sharing|social|related|recommended|comments?|disqus|respond|repl(?:y|ies)|login|search|pagination|pager|copyright|legal|skip|contentinfo|complementary)(?![a-z])"
+# Parts of class and id tokens: certain names, names that may as well be a topic or a layout, and words that add nothing to either.
+NAMED = frozenset(
+    """
+ad ads advert adverts advertisement adbox banner promo sponsored cookie cookies gdpr popup modal newsletter subscribe signup
+menu nav navbar navigation breadcrumb breadcrumbs sidebar footer masthead toolbar sharing comments disqus replies login pagination pager
+""".split()
 )
+DOUBTFUL = frozenset("promotion sponsor consent notice alert overlay widget header share social related recommended comment respond reply search copyright legal skip".split())
+NEUTRAL = frozenset("site page main global top bottom primary secondary inner outer wrapper wrap container box bar block section area list links link item items post posts user panel".split())
+ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 KEPT_NAMES = re.compile(r"(?<![a-z])(?:article|entry|post|content|main)[-_]?(?:header|body|content|text|title)")
 TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
 @dataclass
@@ -56,24 +63,42 @@ class Block:
     heading: bool
     skipped: bool
     code: bool = False
+    doubtful: bool = False
+
+
+def token_says(token: str) -> str:
+    """"certain" if all parts of a class or id token are boilerplate names or neutral words, "doubt" if no name is a certain one, else ""."""
+    parts = {x.lower() for x in NAME_PARTS.findall(KEPT_NAMES.sub(" ", token))}
+    if not parts <= NAMED | DOUBTFUL | NEUTRAL:
+        return ""
+    return "certain" if parts & NAMED else "doubt" if parts & DOUBTFUL else ""
 
 
-def boilerplate_name(attributes: str) -> bool:
-    if HIDDEN.search(attributes):
-        return True
+def markup_says(tag: str, attributes: str) -> str:
+    """"certain" if attributes say that an element is hidden or no content, "doubt" if they only hint at it, else ""."""
+    said = ""
     for m in ATTRIBUTE.finditer(attributes):
-        name = KEPT_NAMES.sub(" ", (m[1] or m[2] or m[3] or "").lower())
-        if NAMED.search(name):
-            return True
-    return False
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" or (name == "style" and NOT_SHOWN.search(value)) or (name == "aria-hidden" and value.strip().lower() == "true"):
+            return "certain"
+        if name == "role" and value.strip().lower() in ROLES:
+            return "certain"
+        if name not in ("class", "id", "aria-label"):
+            continue
+        for token in value.split() if name == "class" else [value]:
+            says = token_says(token)
+            if says == "certain" and (name == "class" or (name == "id" and tag in ("div", "ul", "ol", "table"))):
+                return "certain"
+            said = said or says and "doubt"
+    return said
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of text in page order, with the link characters in each, whether an article holds it, and whether markup says it is no content."""
+    """Blocks of text in page order, with the link characters in each, whether an article holds it, and whether markup says it is no content or hints at it."""
     out: list[Block] = []
     parts: list[str] = []
-    links = inside = anchors = nested = code = 0
-    skip = ""
+    links = inside = anchors = nested = doubts = code = 0
+    skip = doubt = ""
     heading = False
 
     def close() -> None:
@@ -81,7 +106,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append(Block(text, links, inside > 0, heading, bool(skip), code > 0))
+                out.append(Block(text, links, inside > 0, heading, bool(skip), code > 0, bool(doubt)))
         parts.clear()
         links, heading = 0, False
 
@@ -117,11 +142,20 @@ def blocks(page: str) -> list[Block]:
                     close()
                 continue
         void = m[4].rstrip().endswith("/") or tag in ("input", "hr", "meta", "link", "img", "source")
-        unwanted = not ending and not void and tag not in ("body", "html", "article", "main") and (tag in SKIPPED_TAGS or (tag == "header" and not inside) or (m[4] and boilerplate_name(m[4])))
-        if unwanted:
+        opens = not ending and not void and tag not in ("body", "html", "article", "main")
+        says = markup_says(tag, m[4]) if opens and m[4] else ""
+        if opens and (tag in SKIPPED_TAGS or (tag == "header" and not inside) or says == "certain"):
             close()
             skip, nested = tag, 1
             continue
+        if doubt and tag in (doubt, "article", "main", "body"):
+            doubts += 0 if void else -1 if ending else 1
+            if tag != doubt or not doubts:
+                close()
+                doubt = ""
+        elif says and not doubt and tag in BLOCK_TAGS and tag not in PARAGRAPH:
+            close()
+            doubt, doubts = tag, 1
         if tag in BLOCK_TAGS:
             close()
             heading = tag[0] == "h" and tag[1:].isdigit() and not ending
@@ -149,24 +183,26 @@ def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
     An <article> or <main> is evidence: in it more links and fewer frequent words are allowed, one good neighbour is
     enough for a short block, and beyond its edges stands a good neighbour for blocks in it, a bad one for those outside. Where the text in it as a whole lacks
     frequent words (another language), or a block is no prose, their share decides nothing there.
+    Where a name only hints at no content, the container is no evidence, and short and near blocks need good neighbours
+    on both sides.
     """
     article = any(b.inside and not b.skipped for b in found)
     told = not article or stop_density(" ".join(b.text for b in found if b.inside and not b.skipped and not no_prose(b))) >= rules.few_stops_inside
     labels = []
     for b in found:
-        linked = b.links / max(1, len(b.text))
-        if b.skipped or linked > (rules.most_links_inside if b.inside else rules.most_links):
+        linked, inside = b.links / max(1, len(b.text)), b.inside and not b.doubtful
+        if b.skipped or linked > (rules.most_links_inside if inside else rules.most_links):
             labels.append("bad")
         elif len(b.text) < rules.short:
-            labels.append("bad" if b.links and not b.inside else "short")
+            labels.append("bad" if b.links and not inside else "short")
         else:
             stops = stop_density(b.text)
             if stops >= rules.many_stops:
-                labels.append("good" if len(b.text) >= rules.long or b.inside else "near")
-            elif b.inside and (not told or no_prose(b)):
+                labels.append("good" if len(b.text) >= rules.long or inside else "near")
+            elif inside and (not told or no_prose(b)):
                 labels.append("near")
             else:
-                labels.append("near" if stops >= (rules.few_stops_inside if b.inside else rules.few_stops) else "bad")
+                labels.append("near" if stops >= (rules.few_stops_inside if inside else rules.few_stops) else "bad")
 
     def nearest(order: list[int]) -> list[str | None]:
         out: list[str | None] = [None] * len(found)
@@ -186,7 +222,7 @@ def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
             around = {p, n} - {None}
             if around == {"good"}:
                 label = "good"
-            elif "good" in around:
+            elif "good" in around and not b.doubtful:
                 label = "good" if label == "near" or b.inside or (b.heading and n == "good") else "bad"
             else:
                 label = "good" if label == "near" and not around else "bad"
@@ -202,7 +238,7 @@ def main_text(page: str | None, rules: Rules | None = None) -> str:
 def extract(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    Markup says first what is no content (menus, forms, footers, notices and the like, by tag, class, id or role); the
+    Markup says first what is no content (menus, forms, footers, notices and the like, by tag, role, or whole names in class or id); the
     other blocks are judged by link density, length and the share of frequent words, then short and doubtful ones by the
     nearest decided blocks. That a page marks its article is evidence for the blocks in it and against the others, see
     main_blocks().

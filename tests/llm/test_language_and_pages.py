@@ -81,3 +81,26 @@ def test_an_article_is_evidence_and_no_decision():
     assert "omega" in main_text(f"<article><p>{ARTICLE}</p>{table}<p>{ARTICLE}</p></article>")
     assert "factor=2" in main_text(f"<article><p>{ARTICLE}</p>{code}<p>{ARTICLE}</p></article>")
     assert main_text(f"<article><p>{ARTICLE}</p></article><p>{ARTICLE} {ARTICLE}</p><p>Short one.</p>") == f"{ARTICLE} {ARTICLE} {ARTICLE}"
+
+
+def test_loose_names_drop_nothing():
+    text = f"{ARTICLE} {ARTICLE}"
+    for attributes in ('class="overflow-hidden"', 'style="overflow:hidden"', 'title="a hidden valley"', 'class="no-sidebar"', 'class="has-header"', "class=content-sidebar-wrap", 'data-hidden="x"', 'id="legal"', 'id="related"', 'id="notice"', 'id="share"'):
+        assert main_text(f"<div {attributes}><p>{text}</p></div>") == text, attributes
+    for tag in ("h2", "p", "span"):
+        for name in ("legal", "related", "notice", "share"):
+            assert main_text(f'<article><p>{ARTICLE}</p><{tag} id="{name}">A few words</{tag}><p>{ARTICLE}</p></article>').count("A few words") == 1
+    for attributes in ("hidden", 'hidden=""', 'style="color:red; display: none"', 'aria-hidden="true"', 'class="x cookie-notice"', 'class="siteFooter"', 'id="sidebar"', 'role="navigation"'):
+        assert main_text(f"<article><p>{ARTICLE}</p><div {attributes}><p>{text}</p></div></article>") == ARTICLE, attributes
+
+
+def test_doubtful_names_are_judged_by_the_block_rules():
+    story = f'<div class="related"><div><p>{ARTICLE} {ARTICLE}</p></div><h3>More</h3></div>'
+    assert main_text(f"<article><p>{ARTICLE}</p>{story}</article><nav>Home</nav>") == f"{ARTICLE} {ARTICLE} {ARTICLE} More"
+    links = '<div class="related"><p>More of <a href="/a">the same</a></p></div>'
+    assert main_text(f"<article><p>{ARTICLE}</p>{links}<p>Short end.</p></article>") == f"{ARTICLE} Short end."
+
+
+def test_figures_and_formulas_stay():
+    page = f"<article><p>{ARTICLE}</p><figure><img src=x><figcaption>The old house</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p><p>{ARTICLE}</p></article>"
+    assert main_text(page) == f"{ARTICLE} The old house So x=2 holds. {ARTICLE}"
