@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -14,6 +16,9 @@ from pyspark.sql import types as T
 from palimpsest.llm import kernels as K
 
 EDGE = "\x02"
+# The same words as letter_words() gives.
+WORD = r"\p{L}[\p{L}\p{M}]*"
+PIECE = 64
 
 
 @dataclass
@@ -28,13 +33,13 @@ class Model:
     known: dict = field(default_factory=dict, repr=False)
 
     def scores(self, word: str) -> list[float] | None:
-        """Log frequencies of one word with no characters but letters, or None if it says nothing."""
+        """Log frequencies of one of letter_words(), whatever its length, or None if it says nothing."""
         if not word:
             return None
         got = self.words.get(word)
         if got is not None:
             return got
-        text, total, n = EDGE + word[:40] + EDGE, None, 0
+        text, total, n = EDGE + word + EDGE, None, 0
         for at in range(len(text)):
             for size in range(min(self.longest, len(text) - at), 0, -1):
                 got = self.grams.get(text[at : at + size])
@@ -45,8 +50,19 @@ class Model:
         return self.unseen if total is None else [x / n for x in total]
 
 
-def letters_only(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(c for c in word.lower() if c.isalpha())
+def letter_words(text: str) -> list[str]:
+    """The words of a text, lowered: a letter, then letters and their combining marks; all else divides words."""
+    text = text.lower().strip(string.punctuation)
+    if text.isalpha():
+        return [text]
+    out, start = [], -1
+    for i, c in enumerate(text):
+        if c.isalpha():
+            start = i if start < 0 else start
+        elif start >= 0 and not unicodedata.category(c).startswith("M"):
+            out.append(text[start:i])
+            start = -1
+    return out if start < 0 else [*out, text[start:]]
 
 
 def train(docs: DataFrame, rows: int = 6000, most_words: int = 60_000, most_grams: int = 40_000, longest: int = 4) -> Model:
@@ -55,19 +71,21 @@ def train(docs: DataFrame, rows: int = 6000, most_words: int = 60_000, most_gram
     Kept are the most frequent words and n-grams up to the bounds. Rows with null text or lang teach nothing; without
     any, the model knows no language.
     """
-    lower = F.lower(F.regexp_replace("text", r"[^\p{L}\s]+", ""))
     labelled = docs.where("text IS NOT NULL AND lang IS NOT NULL").select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("at"), "text")
     chosen = labelled.select("at").orderBy("at").limit(rows).distinct()  # at most so many numbers
     sample = labelled.join(F.broadcast(chosen), "at", "left_semi")
-    words = sample.select("lang", F.explode(F.split(lower, r"\s+")).alias("word")).where("word <> ''").groupBy("word", "lang").count()
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("word")).groupBy("word", "lang").count()
     words = words.persist()
     per_lang = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("count").alias("n")).collect()}
     langs = sorted(per_lang)
     if not langs:
         words.unpersist()
         return Model([], {}, {}, [])
-    spread = F.transform(F.sequence(F.lit(1), F.length("edged")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substring(F.col("edged"), i, n)))
-    grams = words.select("lang", "count", F.concat(F.lit(EDGE), F.substring("word", 1, 40), F.lit(EDGE)).alias("edged")).select("lang", "count", F.explode(F.array_distinct(F.flatten(spread))).alias("word")).groupBy("word", "lang").agg(F.sum("count").alias("count"))
+    # Words are cut into pieces that overlap by less than an n-gram, in one pass: substrings of a long word would cost its length each.
+    pieces = F.regexp_extract_all(F.concat(F.lit(EDGE), F.col("word"), F.lit(EDGE)), F.lit(f"(?=(.{{1,{PIECE + longest - 1}}})).{{1,{PIECE}}}"), F.lit(1))
+    starts = F.sequence(F.lit(1), F.least(F.length("piece"), F.lit(PIECE)))
+    spread = F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.lit(longest)), lambda n: F.substring(F.col("piece"), i, n)))
+    grams = words.select("lang", "count", F.explode(pieces).alias("piece")).select("lang", "count", F.explode(F.array_distinct(F.flatten(spread))).alias("word")).groupBy("word", "lang").agg(F.sum("count").alias("count"))
 
     def table(counted: DataFrame, most: int) -> dict[str, list[float]]:
         top = counted.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(most)
@@ -81,9 +99,9 @@ def train(docs: DataFrame, rows: int = 6000, most_words: int = 60_000, most_gram
 def predict(docs: DataFrame, model: Model, remembered: int = 400_000) -> DataFrame:
     """The columns of docs, then lang_pred and score (columns of these names are replaced), from each whole text.
 
-    Words are split at white space, stripped of all but letters, and lowered. A known word adds its log frequency in
-    each language; an unseen word adds the mean over its positions of the longest known n-gram (at most model.longest
-    characters, then shorter). The score is the softmax over languages of the mean log frequency of a word.
+    Words are split at all but letters (and combining marks after them), and lowered. A known word adds its log
+    frequency in each language; an unseen word adds the mean over all its positions of the longest known n-gram (at most
+    model.longest characters, then shorter), however long it is. The score is the softmax over languages of the mean log frequency of a word.
 
     `und` with score 0 if the text is null, has no letter, or the model knows no language. Ties fall to the language
     first in order. Rows are judged one by one: repeated rows alike, an empty table gives none; other columns are
@@ -112,8 +130,8 @@ def predict(docs: DataFrame, model: Model, remembered: int = 400_000) -> DataFra
                         slot = memory[h] = len(memory)
                         if slot >= len(table):
                             table = np.concatenate([table, np.zeros_like(table)])
-                        got = m.scores(letters_only(raw[w.starts[at] : w.ends[at]].decode("utf-8", "replace")))
-                        table[slot, :] = 0 if got is None else [*got, 1.0]
+                        got = [m.scores(x) for x in letter_words(raw[w.starts[at] : w.ends[at]].decode("utf-8", "replace"))]
+                        table[slot, :] = [*map(sum, zip(*got, strict=True)), len(got)] if got and m.langs else 0
                     slots[i] = slot
                 values = table[slots][inverse]
                 n = w.end - w.first

@@ -40,6 +40,30 @@ def test_nothing_to_learn_from(spark):
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]
 
 
+def test_long_words_and_texts_without_spaces_count_in_full(spark):
+    r = random.Random(7)
+
+    def unspaced(lang, n):
+        return "".join(r.choice(WORDS[lang]) for _ in range(n))
+
+    labelled = [(i, unspaced(lang, 30), lang) for i, lang in enumerate(["en", "de"] * 40)]
+    late = [(100 + i, "filler" * 10 + "zqxzqx" * 20, "zq") for i in range(40)]  # what tells this one comes after 40 letters
+    model = language_id.train(spark.createDataFrame([*labelled, *late, (999, unspaced("en", 40_000), "en")], "doc_id long, text string, lang string"))
+    assert any("zqx" in g for g in model.grams)
+    rows = [(1, unspaced("de", 12)[:40] + unspaced("en", 300)), (2, unspaced("en", 12)[:40] + unspaced("de", 300)), (3, "zqx" * 30)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {1: "en", 2: "de", 3: "zq"}
+
+
+def test_words_end_at_all_but_letters(spark):
+    model = language_id.train(spark.createDataFrame(documents(240), "doc_id long, text string, lang string, source string"))
+    rows = [(i, glue.join(["haus", "fluss", "licht", "wasser", "stein", "brot", "winter", "fenster", "river", "of", *WORDS["en"] * 3]) + end) for i, (glue, end) in enumerate([("\u00a0", ""), ("\u3000", "!"), ("-", "_"), ("/", ""), ("_", "."), ("\u3002", "")])]
+    spaced = [(9, rows[0][1].replace("\u00a0", " "))]
+    got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(spark.createDataFrame([*rows, *spaced], "doc_id long, text string"), model).collect()}
+    assert got[9][0] == "en" and set(got.values()) == {got[9]}
+    assert language_id.letter_words("L'\u00c9t\u00e9, cafe\u0301\u0301 \u0301 na-12a_B") == ["l", "\u00e9t\u00e9", "cafe\u0301\u0301", "na", "a", "b"]
+
+
 ARTICLE = "The old river and the house that stood by it were known to all of us, and in the winter light we would walk from there to the town with bread for the people who lived in it."
 PAGE = f"""<html><head><title>No</title><style>p {{ }}</style></head><body>
 <nav><a href="/">Home</a> <a href="/b">About</a></nav>
