@@ -1,8 +1,17 @@
+import math
+import os
 import random
+import unicodedata
 import zlib
+from collections import Counter
+
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import html_extract, language_id
 from palimpsest.llm.html_extract import main_text
+from palimpsest.llm.sampling import bounded_sample
 
 WORDS = {
     "en": "the of and house river with light that tree from under water stone bread winter window".split(),
@@ -40,6 +49,67 @@ def test_nothing_to_learn_from(spark):
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]
 
 
+def pure_words(text):
+    out, word = [], ""
+    for c in (text or "").lower() + " ":
+        kind = unicodedata.category(c)[0]
+        if kind == "L" or (kind == "M" and word):
+            word += c
+        elif word:
+            out.append(word)
+            word = ""
+    return out
+
+
+def pure_predictions(labelled, texts, longest=4):
+    """The method in plain Python: (language, score) of each text."""
+    langs = sorted({lang for _, lang in labelled})
+    words, grams = {x: Counter() for x in langs}, {x: Counter() for x in langs}
+    for text, lang in labelled:
+        for w in pure_words(text):
+            words[lang][w] += 1
+            e = f"\x02{w}\x02"
+            grams[lang].update(e[i : i + n] for n in range(1, longest + 1) for i in range(len(e) - n + 1))
+    total = {x: sum(words[x].values()) for x in langs}
+    known, knowns = set().union(*words.values()), set().union(*grams.values())
+    log = lambda table, x, key: math.log((table[x][key] + 0.1) / (total[x] + 1))
+    out = []
+    for text in texts:
+        found = pure_words(text)
+        sums = dict.fromkeys(langs, 0.0)
+        for w in found:
+            if w in known:
+                for x in langs:
+                    sums[x] += log(words, x, w)
+                continue
+            e = f"\x02{w}\x02"
+            best = [next((e[i : i + n] for n in range(min(longest, len(e) - i), 0, -1) if e[i : i + n] in knowns), None) for i in range(len(e))]
+            best = [g for g in best if g is not None]
+            for x in langs:
+                sums[x] += sum(log(grams, x, g) for g in best) / max(1, len(best))
+        if not found or not langs:
+            out.append(("und", 0.0))
+            continue
+        mean = {x: v / len(found) for x, v in sums.items()}
+        odds = {x: math.exp(v - max(mean.values())) for x, v in mean.items()}
+        lang = max(langs, key=lambda x: (mean[x], -langs.index(x)))
+        out.append((lang, odds[lang] / sum(odds.values())))
+    return out
+
+
+def test_against_plain_python(spark):
+    r = random.Random(11)
+    letters = "abcdeéß한글नी"
+    made = lambda n: " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 9))) for _ in range(n))
+    labelled = [(text, lang) for _, text, lang, _ in documents(60)] + [(made(30), "xx"), (made(20), "yy"), ("", "yy"), ("once upon", "en")]
+    texts = [text for _, text, _, _ in documents(80)] + [made(n) for n in range(1, 30)] + ["", "12", None, "The\u00a0HOUSE, riverhouse hausfluss-maison " + "ab" * 5000, "İstanbul ΣΑΣ \u0301x"]
+    model = language_id.train(spark.createDataFrame([(i, *x) for i, x in enumerate(labelled)], "doc_id long, text string, lang string"))
+    rows = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    got = [(x["lang_pred"], x["score"]) for x in sorted(rows, key=lambda x: x["doc_id"])]
+    for text, a, b in zip(texts, got, pure_predictions(labelled, texts), strict=True):
+        assert a[0] == b[0] and abs(a[1] - b[1]) < 1e-5, text
+
+
 def test_long_words_and_texts_without_spaces_count_in_full(spark):
     r = random.Random(7)
 
@@ -49,8 +119,7 @@ def test_long_words_and_texts_without_spaces_count_in_full(spark):
     labelled = [(i, unspaced(lang, 30), lang) for i, lang in enumerate(["en", "de"] * 40)]
     late = [(100 + i, "filler" * 10 + "zqxzqx" * 20, "zq") for i in range(40)]  # what tells this one comes after 40 letters
     model = language_id.train(spark.createDataFrame([*labelled, *late, (999, unspaced("en", 40_000), "en")], "doc_id long, text string, lang string"))
-    assert any("zqx" in g for g in model.grams)
-    rows = [(1, unspaced("de", 12)[:40] + unspaced("en", 300)), (2, unspaced("en", 12)[:40] + unspaced("de", 300)), (3, "zqx" * 30)]
+    rows = [(1, unspaced("de", 12)[:40] + unspaced("en", 3000)), (2, unspaced("en", 12)[:40] + unspaced("de", 3000)), (3, "zqx" * 30)]
     got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
     assert got == {1: "en", 2: "de", 3: "zq"}
 
@@ -61,7 +130,31 @@ def test_words_end_at_all_but_letters(spark):
     spaced = [(9, rows[0][1].replace("\u00a0", " "))]
     got = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(spark.createDataFrame([*rows, *spaced], "doc_id long, text string"), model).collect()}
     assert got[9][0] == "en" and set(got.values()) == {got[9]}
-    assert language_id.letter_words("L'\u00c9t\u00e9, cafe\u0301\u0301 \u0301 na-12a_B") == ["l", "\u00e9t\u00e9", "cafe\u0301\u0301", "na", "a", "b"]
+    w = language_id.letter_words([0], ["l'\u00e9t\u00e9, cafe\u0301\u0301 \u0301 na-12a_b"])
+    assert ["".join(map(chr, w.points[a:b])) for a, b in zip(w.starts, w.ends, strict=True)] == ["l", "\u00e9t\u00e9", "cafe\u0301\u0301", "na", "a", "b"]
+
+
+def test_long_texts_are_read_in_pieces_that_split_no_word():
+    text = " ".join(f"wort{'x' * (i % 7)}" for i in range(3000))
+    whole = [w for p in language_id.pieces(pa.array([text, None, "a b"])) for w in zip(p.row.tolist(), p.keys.tolist(), strict=True)]
+    cut = [w for p in language_id.pieces(pa.array([text, None, "a b"]), limit=100) for w in zip(p.row.tolist(), p.keys.tolist(), strict=True)]
+    assert len(whole) == 3002 and whole == cut
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
+def test_accuracy_on_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    told = language_id.language_digest(docs).where("held_out").join(docs.where("lang IS NOT NULL").select("doc_id", "lang"), "doc_id")
+    right, n = told.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count("*")).first()
+    assert n > 100 and right / n >= 0.98, (right, n)
+
+
+def test_a_sample_is_bounded_and_the_same_each_time(spark):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.col("id").cast("string").alias("text"))
+    one = sorted(r["doc_id"] for r in bounded_sample(rows, "doc_id", 1000).collect())
+    assert one == sorted(r["doc_id"] for r in bounded_sample(rows.repartition(5), "doc_id", 1000).collect())
+    assert len(one) == len(set(one)) and 500 < len(one) < 1000
+    assert bounded_sample(rows, "doc_id", 10**6).count() == rows.select("doc_id").distinct().count()
 
 
 ARTICLE = "The old river and the house that stood by it were known to all of us, and in the winter light we would walk from there to the town with bread for the people who lived in it."

@@ -5,7 +5,6 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import language_id
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, tag int"
 ITEM = "seven brave turtles crossed that wide river before the early morning light arrived quietly"
@@ -55,8 +54,3 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
-
-
-def test_backoff_of_unseen_words():
-    m = language_id.Model(["a", "b"], {"x": [-1.0, -2.0]}, {"q": [-3.0, -1.0], "qu": [-2.0, -5.0]}, [0.0, 0.0])
-    assert m.scores("x") == [-1.0, -2.0] and m.scores("quq") == [-2.5, -3.0] and m.scores("") is None and m.scores("z") == [0.0, 0.0]
