@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.checkpoints import cut
+from palimpsest.llm.checkpoints import Tables
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, tables: Tables, most_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of links (u, v): the smallest node it can reach. Nulls and self-links are left out.
 
     Each round points every neighbour of a node, first the larger then the smaller ones, at the least of them, until
-    nothing changes; the minima are aggregated before the shuffle, so a node with very many links is no hot spot.
+    nothing changes; the minima are aggregated before the shuffle, so a node with very many links is no hot spot. Each
+    round's links are a table, whose size tells Spark how to join them.
     """
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = tables.write(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -22,7 +23,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v")
-        edges = cut(small.distinct())
+        before, edges = edges, tables.write(small.distinct())
+        tables.drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == seen:
             break

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.checkpoints import Tables, cut
+from palimpsest.llm.checkpoints import Tables
 from palimpsest.llm.components import components
-from palimpsest.llm.packed import longs, map_packed, originals, pack_texts, small_batches, text_classes, unpack_texts, unpacked
+from palimpsest.llm.packed import later_copies, longs, map_packed, originals, pack_texts, small_batches, text_groups, unpack_texts, unpacked
 
-HEAVY = 262_144  # so many keys (2 MB) at most are ordered by frequency; the order bears on speed alone
+HEAVY = 262_144  # so many keys (4 MB with their counts) at most are ordered by frequency; the order bears on speed alone
 
 
 def shingle_sets(w: K.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -40,8 +40,8 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
-def _heavy_keys(texts: DataFrame, n: int, least: int = 3, together: int = 3_000_000) -> np.ndarray:
-    """The most frequent shingles, rarest first: those that repeat among so many in a row of the input are counted over all of it."""
+def _heavy_keys(texts: DataFrame, n: int, least: int = 3, together: int = 3_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, rarest first, and their counts: those that repeat among so many in a row of the input are counted over all of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -60,31 +60,36 @@ def _heavy_keys(texts: DataFrame, n: int, least: int = 3, together: int = 3_000_
         if held:
             yield counted()
 
-    top = texts.select("packed").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY)
-    return top.select("key").toArrow().column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
+    top = texts.select("packed").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
+    keys, counts = (top.column(i).to_numpy()[::-1].astype(np.int64) for i in (0, 1))
+    return keys.view(np.uint64), counts
 
 
-def _prefix_rows(texts: DataFrame, n: int, percent: int, heavy: np.ndarray) -> DataFrame:
-    """(key, doc_id, at): the first shingles of each set in the global order; at holds the set's size and the position."""
-    sorted_at = np.argsort(heavy)
-    sorted_heavy = heavy[sorted_at]
+def _prefix_rows(texts: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], list_block: int) -> DataFrame:
+    """(key, doc_id, at, parts): the first shingles of each set in the global order; at holds the set's size and the position.
+
+    parts tells into how many parts the list of a frequent key is dealt; it is the same in all rows of the key.
+    """
+    sorted_at = np.argsort(heavy[0])
+    sorted_heavy, blocks = heavy[0][sorted_at], -(-heavy[1] // list_block)
 
     def f(ids, w, _):
         row, keys = shingle_sets(w, n)
         rank = np.zeros(len(keys), np.int64)
-        if len(heavy):
-            at = np.minimum(np.searchsorted(sorted_heavy, keys), len(heavy) - 1)
+        if len(sorted_heavy):
+            at = np.minimum(np.searchsorted(sorted_heavy, keys), len(sorted_heavy) - 1)
             rank = np.where(sorted_heavy[at] == keys, sorted_at[at] + 1, 0)
         order = np.lexsort((keys, rank, row))
-        row, keys = row[order], keys[order]
+        row, keys, rank = row[order], keys[order], rank[order]
         sizes = np.bincount(row, minlength=w.end - w.first)
         first = np.cumsum(sizes) - sizes
         position = np.arange(len(row)) - first[row]
         size = sizes[row]
         take = position < size - -(-size * percent // 100) + 1
-        return longs(keys[take]), ids[row[take]].astype(np.int64), (size[take].astype(np.int64) << 32) | position[take]
+        parts = np.append(1, blocks)[rank[take]]
+        return longs(keys[take]), ids[row[take]].astype(np.int64), (size[take].astype(np.int64) << 32) | position[take], parts.astype(np.int64)
 
-    return map_packed(texts, f, "key long, doc_id long, at long", lower=True)
+    return map_packed(texts, f, "key long, doc_id long, at long, parts long", lower=True)
 
 
 def parity_bits(row: np.ndarray, keys: np.ndarray, rows: int) -> list[bytes]:
@@ -128,20 +133,21 @@ def least_difference(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return out
 
 
-def possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that sizes and parity bits do not rule out."""
+def possible(pairs: DataFrame, sketches: DataFrame, percent: int, with_sizes: bool = False) -> DataFrame:
+    """The pairs (a, b) that sizes and parity bits do not rule out, on demand with the sizes n_a and n_b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 4096):
             x, y = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 4))
             most = (x + y - least_difference(b.column(3).to_pylist(), b.column(5).to_pylist())) // 2
             ok = pa.array(most >= -(-(x + y) * percent // (100 + percent)))
-            yield pa.record_batch([b.column(0).filter(ok), b.column(1).filter(ok)], ["a", "b"])
+            yield pa.record_batch([b.column(i).filter(ok) for i in (0, 1, 2, 4)], ["a", "b", "n_a", "n_b"])
 
     side = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     near = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
     rows = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").where(near)
-    return rows.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long").distinct()
+    left = rows.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(run, "a long, b long, n_a long, n_b long").distinct()
+    return left if with_sizes else left.select("a", "b")
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
@@ -223,46 +229,69 @@ def _list_pairs(percent: int, rows_at_once: int = 100_000, pairs_at_once: int =
     return run
 
 
+def derive(pairs: DataFrame, near: DataFrame, texts: DataFrame, n: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Of pairs (a, b): (a, b, alike) of those whose answer follows from answers that are known, and (a, b) of the others.
+
+    near has (a, b, size_a, size_b, overlap): b's leader a and how much they share. Let p and q be the leaders of a and b (or a
+    and b themselves). Then a and b share at most what p and q share (or a with p, or b with q, if that is less) and
+    what each lacks of its leader, and at least what p and q share less what these lack of a and b. If p is q, what it shares with itself
+    is known; if several pairs have the same two leaders, these are compared once for all of them.
+    """
+    once = near.groupBy("b").agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in ("a", "overlap", "size_b", "size_a"))).where("n = 1")  # an id with several texts leads and follows nowhere
+    leader = once.select(F.col("b").alias("doc"), F.col("a").alias("l"), F.col("overlap").alias("o"), F.col("size_b").alias("s"), F.col("size_a").alias("z"))
+    for side in ("a", "b"):
+        pairs = pairs.join(leader.select(F.col("doc").alias(side), *(F.col(c).alias(f"{c}{side}") for c in "losz")), side, "left")
+    sizes = lambda x: [F.coalesce(f"{c}{x}", f"n_{x}").alias(f"{c}{x}") for c in "osz"]
+    led = tables.write(pairs.select("a", "b", F.coalesce("la", "a").alias("la"), F.coalesce("lb", "b").alias("lb"), *sizes("a"), *sizes("b")).withColumns({"lo": F.least("la", "lb"), "hi": F.greatest("la", "lb")}))
+    asked = led.where("lo < hi AND (la <> a OR lb <> b)").groupBy("lo", "hi").agg(F.count("*").alias("n")).where("n > 1").select(F.col("lo").alias("a"), F.col("hi").alias("b"))
+    known = tables.write(overlaps(asked, texts, n).groupBy(F.col("a").alias("lo"), F.col("b").alias("hi")).agg(F.count("*").alias("n"), F.max("overlap").alias("between")).where("n = 1").drop("n"))
+    between = F.coalesce("between", F.when(F.col("la") == F.col("lb"), F.col("za")))
+    most = F.least(between, "oa", "ob") + F.col("sa") - F.col("oa") + F.col("sb") - F.col("ob")
+    most = F.when(F.col("la") == F.col("lb"), F.least("oa", "ob") + F.least(F.col("sa") - F.col("oa"), F.col("sb") - F.col("ob"))).otherwise(most)
+    fewest = between - (F.col("za") - F.col("oa")) - (F.col("zb") - F.col("ob"))
+    need = least_overlap(F.col("sa"), F.col("sb"), percent)
+    said = F.when(fewest >= need, True).when(most < need, False)
+    judged = tables.write(led.join(known, ["lo", "hi"], "left").select("a", "b", said.alias("alike")))
+    tables.drop(led, known)
+    return judged.where("alike IS NOT NULL"), judged.where("alike IS NULL").select("a", "b").distinct()
+
+
 def links(texts: DataFrame, sketches: DataFrame, n: int, percent: int, tables: Tables, list_block: int = 4096) -> DataFrame:
     """(u, v): similar pairs of texts, enough of them to connect whatever is connected.
 
     sketches: (doc_id, n_shingles, bits) of the texts. The result needs the tables that are written on the way.
     """
-    of_key = Window.partitionBy("key")
-    rows = _prefix_rows(texts, n, percent, _heavy_keys(texts, n))
-    lists = tables.write(rows.select("*", F.count("*").over(of_key).alias("n"), F.min("doc_id").over(of_key).alias("head")).where("n > 1").drop("n"))
+    rows = _prefix_rows(texts, n, percent, _heavy_keys(texts, n), list_block).withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    of_part = Window.partitionBy("key", "part")
+    lists = tables.write(rows.select("*", F.count("*").over(of_part).alias("n"), F.min("doc_id").over(of_part).alias("head")).where("n > 1 OR parts > 1").drop("n"))
 
     # First each set is compared with one other: the head of most of its lists.
     votes = lists.where("doc_id > head").groupBy("doc_id", "head").agg(F.count("*").alias("n"), F.max(F.shiftright("at", 32)).alias("size"))
     chosen = votes.where("n * 20 >= size").groupBy("doc_id").agg(F.max_by("head", F.struct("n", -F.col("head"))).alias("head"))
-    near = cut(overlaps(possible(chosen.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), sketches, percent), texts, n))
+    near = tables.write(overlaps(possible(chosen.select(F.col("head").alias("a"), F.col("doc_id").alias("b")), sketches, percent), texts, n))
     alike = F.col("overlap") >= least_overlap(F.col("size_a"), F.col("size_b"), percent)
-    first = near.where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(first)
-
-    # Then lists are searched for pairs across components only.
-    owned = lists.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "at", F.coalesce("root", "doc_id").alias("root"))
-    mixed = owned.select("*", F.min("root").over(of_key).alias("low"), F.max("root").over(of_key).alias("high"), F.count("*").over(of_key).alias("n")).where("low < high")
-    mixed = mixed.withColumn("parts", F.ceil(F.col("n") / list_block).cast("long"))
+    # A set's head is smaller, so heads form trees; where a head has one itself, it is followed, twice.
+    up = near.where(alike).select(F.col("b").alias("node"), F.col("a").alias("root"))
+    for _ in range(2):
+        up = tables.write(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("above")), "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+
+    # Then lists are searched for pairs across trees only. What a key's parts hold is aggregated before they meet.
+    owned = lists.join(up.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "part", "parts", "doc_id", "at", F.coalesce("root", "doc_id").alias("root"))
+    one = owned.where("parts = 1").select("*", F.min("root").over(of_part).alias("low"), F.max("root").over(of_part).alias("high"), F.count("*").over(of_part).alias("n")).where("low < high")
+    one = one.withColumn("parts", F.ceil(F.col("n") / list_block).cast("long"))
+    many = owned.where("parts > 1")
+    wide = tables.write(many.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"))
+    mixed = one.select("key", "parts", "doc_id", "at", "root").unionByName(many.join(wide, "key").select("key", "parts", "doc_id", "at", "root"))
     own = F.pmod(F.xxhash64("doc_id"), "parts")
     dealt = mixed.select("key", "root", "at", "doc_id", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "root", "at", "doc_id")
     sorted_lists = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "root", "at")
-    pairs = cut(possible(sorted_lists.mapInArrow(_list_pairs(percent), "a long, b long").distinct(), sketches, percent))
+    pairs = possible(sorted_lists.mapInArrow(_list_pairs(percent), "a long, b long").distinct(), sketches, percent, with_sizes=True)
 
-    # A pair's overlap differs from that of the sets they were compared with by no more than what those lack.
-    leader = near.select(F.col("b").alias("doc_id"), F.col("a").alias("leader"), (F.col("size_b") - F.col("overlap")).alias("lacks"), F.col("size_b").alias("size"))
-    for side in ("a", "b"):
-        other = leader.select(F.col("doc_id").alias(side), F.col("leader").alias(f"l{side}"), F.col("lacks").alias(f"d{side}"), F.col("size").alias(f"n{side}"))
-        pairs = pairs.join(other, side, "left").withColumn(f"l{side}", F.coalesce(f"l{side}", side)).withColumn(f"d{side}", F.coalesce(f"d{side}", F.lit(0)))
-    pairs = cut(pairs)
-    known = pairs.where("la <> lb AND (la <> a OR lb <> b)").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).distinct()
-    known = overlaps(known, texts, n).select(F.col("a").alias("lo"), F.col("b").alias("hi"), F.col("overlap").alias("between"))
-    most = F.col("between") + F.col("da") + F.col("db")
-    unlike = F.coalesce(most < least_overlap(F.col("na"), F.col("nb"), percent), F.lit(False))
-    left = pairs.withColumn("lo", F.least("la", "lb")).withColumn("hi", F.greatest("la", "lb")).join(known, ["lo", "hi"], "left").where(~unlike)
-    more = overlaps(left.select("a", "b"), texts, n).where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).where("u <> v").unionByName(more)
+    told, open_ = derive(pairs, near, texts, n, percent, tables)
+    more = told.where("alike").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    compared = overlaps(open_, texts, n).where(alike).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return up.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more).unionByName(compared)
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -276,27 +305,27 @@ def jaccard_classes(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
     their component is null. Rows that share a doc_id are one node. An empty table gives no rows; other columns are
     ignored. Shingles are compared by 64-bit hash.
     """
-    classes = cut(text_classes(docs))
-    copies = classes.where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
-    sizes = cut(_sizes(unpacked(docs), n))
-    same = classes.join(sizes, ["doc_id", "tag"]).where("n_shingles > 0 AND doc_id > least").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    sketches = sizes.where("doc_id IS NOT NULL AND n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct()
-
-    # The texts are dealt by document once, for all joins; what is kept on a lost executor's disk is made anew.
-    dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = pack_texts(docs.where("doc_id IS NOT NULL")).repartition(dealt, "doc_id").persist(StorageLevel.DISK_ONLY)
-    tables = Tables(docs.sparkSession)
-    roots = components(links(originals(packed, copies), sketches, n, percent, tables).unionByName(same))
-    packed.unpersist()
-    tables.drop()
-    return sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
+    with Tables(docs.sparkSession) as tables:
+        groups = text_groups(docs, tables)
+        sizes = tables.write(_sizes(unpacked(docs), n))
+        some = sizes.where("doc_id IS NOT NULL AND n_shingles > 0")
+        same = groups.where("doc_id > least").join(some, ["doc_id", "tag"], "left_semi").select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+
+        # The texts are dealt by document once, for all joins; what is kept on a lost executor's disk is made anew.
+        dealt = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        packed = pack_texts(docs.where("doc_id IS NOT NULL")).repartition(dealt, "doc_id").persist(StorageLevel.DISK_ONLY)
+        found = links(originals(packed, later_copies(groups)), some.select("doc_id", "n_shingles", "bits").distinct(), n, percent, tables)
+        roots = components(found.unionByName(same), tables)
+        packed.unpersist()
+        return sizes.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs, all columns: of each component the one with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows with a null doc_id stay.
+    Of rows that share a doc_id the first in order of their columns stays (maps do not count); rows with a null doc_id stay.
     """
     first = jaccard_classes(docs.select("doc_id", "text"), n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    order = Window.partitionBy("doc_id").orderBy(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    kept = docs.where("doc_id IS NOT NULL").withColumn("rank_", F.row_number().over(order)).where("rank_ = 1").drop("rank_").join(first, "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)

@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.llm.checkpoints import Tables
+
 
 def pack_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, packed): the text's 64-bit hash, and the text compressed, so that a shuffle moves fewer bytes. Null stays null."""
@@ -29,25 +31,22 @@ def _tagged(docs: DataFrame, *more) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("tag"), *more, text.alias("text"))
 
 
-def text_classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, least): of every text under an id, the least id that holds it byte for byte."""
-    ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")
-    first = ids.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sum", "least")
-    return ids.join(first, "sum", "left").select("doc_id", "tag", F.coalesce("least", "doc_id").alias("least")).distinct()
-
+def text_groups(docs: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, tag, least, n): of every text under an id that more than one row holds, the least id and the number of rows.
 
-def text_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, tag, least, n): of every text under an id that more than one row holds, the least id and the number of rows."""
+    The groups are a table before they are joined, so that Spark sees both sides of that join as they are: it
+    broadcasts few groups, and splits a text that very many rows hold.
+    """
     ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")
-    first = ids.groupBy("sum").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    return ids.join(first, "sum").select("doc_id", "tag", "least", "n").distinct()
+    first = tables.write(ids.groupBy("sum").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"))
+    found = tables.write(ids.join(first, "sum").select("doc_id", "tag", "least", "n").distinct())
+    tables.drop(first)
+    return found
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, copied): tags of the texts under this id that a smaller id holds too, word for word and byte for byte."""
-    ids = _tagged(docs.where("doc_id IS NOT NULL AND text IS NOT NULL"), F.unhex(F.md5(F.col("text").cast("string"))).alias("sum")).drop("text")
-    first = ids.groupBy("sum").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("sum", "least")
-    return ids.join(first, "sum").where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
+def later_copies(groups: DataFrame) -> DataFrame:
+    """(doc_id, copied): tags of the texts under this id that a smaller id holds too, byte for byte."""
+    return groups.where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
 
 
 def with_and_without_id(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.packed import is_copy, later_copies, longs, map_packed, originals, small_batches, unpack_texts, with_and_without_id
+from palimpsest.llm.checkpoints import Tables
+from palimpsest.llm.packed import is_copy, later_copies, longs, map_packed, originals, small_batches, text_groups, unpack_texts, with_and_without_id
 
 
 def level_lengths(window: int, first: int = 8) -> list[int]:
@@ -83,7 +84,8 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     against each other. An empty table gives no rows; other columns are ignored. Windows are compared by 64-bit hash.
     """
     packed, without_id = with_and_without_id(docs)
-    copies = later_copies(docs)
+    with Tables(docs.sparkSession) as tables:
+        copies = later_copies(text_groups(docs, tables))
     flagged = repeated_windows(originals(packed, copies), window)
 
     def finish(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[pa.RecordBatch]:

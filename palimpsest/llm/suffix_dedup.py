@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import kernels as K
-from palimpsest.llm.checkpoints import cut
-from palimpsest.llm.packed import originals, small_batches, text_groups, unpack_texts, with_and_without_id
+from palimpsest.llm.checkpoints import Tables
+from palimpsest.llm.packed import later_copies, originals, small_batches, text_groups, unpack_texts, with_and_without_id
 from palimpsest.llm.suffix_runs import front_code, merge
 
 U = np.uint64

@@ -3,8 +3,13 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from palimpsest.llm import jaccard_join
+from palimpsest.llm.checkpoints import Tables
 from palimpsest.llm.components import components
 from palimpsest.llm.jaccard_join import jaccard_classes
+from palimpsest.llm.packed import pack_texts
 
 
 def shingles(text, n=5):
@@ -63,5 +68,48 @@ def test_empty_table(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7)]
-    got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "u long, v long")).collect())
+    with Tables(spark) as tables:
+        got = dict(tuple(r) for r in components(spark.createDataFrame(chain, "u long, v long"), tables).collect())
     assert got == {**{i: 0 for i in range(41)}, **{k: 100 for k in range(100, 160)}}
+
+
+def test_answers_are_derived_both_ways(spark):
+    r = random.Random(4)
+    vocab = [f"w{i}" for i in range(4000)]
+    base = [r.choice(vocab) for _ in range(400)]
+    other = base[:330] + [r.choice(vocab) for _ in range(70)]  # some 0.70 alike
+    third = base[:350] + [r.choice(vocab) for _ in range(50)]  # some 0.77 alike
+    rows = []
+    for source in (base, other, third):
+        for _ in range(6):
+            w = list(source)
+            w[r.randrange(len(w))] = r.choice(vocab)
+            rows.append((len(rows), " ".join(w)))
+    sets = [shingles(t) for _, t in rows]
+    leader = {i: 6 * (i // 6) for i in range(18)}
+    near = [(leader[i], i, len(sets[leader[i]]), len(sets[i]), len(sets[i] & sets[leader[i]])) for i in range(18) if i != leader[i]]
+    pairs = [(i, j, len(sets[i]), len(sets[j])) for i in range(18) for j in range(i + 1, 18)]
+    texts = pack_texts(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "packed")
+    with Tables(spark) as tables:
+        told, open_ = jaccard_join.derive(spark.createDataFrame(pairs, "a long, b long, n_a long, n_b long"), spark.createDataFrame(near, "a long, b long, size_a long, size_b long, overlap long"), texts, 5, 75, tables)
+        told, open_ = [tuple(x) for x in told.collect()], [tuple(x) for x in open_.collect()]
+    assert {(a, b) for a, b, _ in told} | set(open_) == {(i, j) for i, j, _, _ in pairs} and len(told) + len(open_) == len(pairs)
+    assert all(alike == (100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])) for a, b, alike in told)
+    assert sum(alike for *_, alike in told) > 20 and sum(not alike for *_, alike in told) > 20
+
+
+def test_lists_of_frequent_keys_are_dealt_in_parts(spark):
+    r = random.Random(9)
+    vocab = [f"w{i}" for i in range(3000)]
+    common = "this very common line stands in a third of all texts".split()
+    rows = [(i, " ".join(common + [r.choice(vocab) for _ in range(4 if i % 2 else 40)])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 300, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    texts = pack_texts(df).select("doc_id", "packed")
+    keys, counts = jaccard_join._heavy_keys(texts, 5)
+    assert counts.max() >= 300 and (counts[:-1] <= counts[1:]).all()
+    with Tables(spark) as tables:
+        sizes = jaccard_join._sizes(df.select("doc_id", F.lit(0).cast("long").alias("tag"), F.col("text").cast("binary").alias("packed")), 5)
+        found = jaccard_join.links(texts, sizes.select("doc_id", "n_shingles", "bits"), 5, 75, tables, list_block=16)
+        roots = dict(tuple(x) for x in components(found, tables).collect())
+    assert {(i, roots.get(i, i)) for i, _ in rows} == {(i, root) for i, _, root in brute(rows)}
