@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from palimpsest.llm import kernels as K
 from palimpsest.llm.checkpoints import Tables
 from palimpsest.llm.components import components
-from palimpsest.llm.packed import later_copies, longs, map_packed, originals, pack_texts, small_batches, text_groups, unpack_texts, unpacked
+from palimpsest.llm.packed import frequent_keys, later_copies, longs, map_packed, originals, pack_texts, small_batches, text_groups, unpack_texts, unpacked
 
 HEAVY = 262_144  # so many keys (4 MB with their counts) at most are ordered by frequency; the order bears on speed alone
 
@@ -40,29 +40,9 @@ def least_overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil((a + b) * percent / (100 + percent))
 
 
-def _heavy_keys(texts: DataFrame, n: int, least: int = 3, together: int = 3_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, rarest first, and their counts: those that repeat among so many in a row of the input are counted over all of it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def counted() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            many = counts >= least
-            return pa.record_batch([pa.array(longs(keys[many])), pa.array(counts[many].astype(np.int64))], ["key", "n"])
-
-        for b in small_batches(batches):
-            for w in K.words(unpack_texts(b.column(0)), lower=True):
-                held.append(shingle_sets(w, n)[1])
-                if sum(map(len, held)) > together:
-                    yield counted()
-        if held:
-            yield counted()
-
-    top = texts.select("packed").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(HEAVY).toArrow()
-    keys, counts = (top.column(i).to_numpy()[::-1].astype(np.int64) for i in (0, 1))
-    return keys.view(np.uint64), counts
+def _heavy_keys(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles, rarest first, and their counts."""
+    return frequent_keys(texts, lambda w: shingle_sets(w, n)[1], HEAVY, lower=True)
 
 
 def _prefix_rows(texts: DataFrame, n: int, percent: int, heavy: tuple[np.ndarray, np.ndarray], list_block: int) -> DataFrame:

@@ -103,3 +103,47 @@ def map_packed(rows: DataFrame, f: Callable, schema: str, lower: bool = False) -
 
 def longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def frequent_keys(texts: DataFrame, keys_of: Callable, most: int, lower: bool = False, least: int = 3, together: int = 3_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent keys that keys_of(words) gives, rarest first, and their counts.
+
+    Keys that come at least so many times among so many in a row of the input are counted over all of it, so a key that a
+    noticeable part of all texts share is never missed; what comes back is bounded by the parameter most.
+    """
+    from palimpsest.llm.kernels import words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            many = counts >= least
+            return pa.record_batch([pa.array(longs(keys[many])), pa.array(counts[many].astype(np.int64))], ["key", "n"])
+
+        for b in small_batches(batches):
+            for w in words(unpack_texts(b.column(0)), lower=lower):
+                held.append(keys_of(w))
+                if sum(map(len, held)) > together:
+                    yield counted()
+        if held:
+            yield counted()
+
+    top = texts.select("packed").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    keys, counts = (top.column(i).to_numpy()[::-1].astype(np.int64) for i in (0, 1))
+    return keys.view(np.uint64), counts
+
+
+def part_counts(frequent: tuple[np.ndarray, np.ndarray], rows: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A function from keys to the number of parts, of about so many rows, that each is dealt in: 0 for keys that are not frequent."""
+    order = np.argsort(frequent[0])
+    known, parts = frequent[0][order], np.maximum(1, -(-frequent[1][order] // rows))
+
+    def of(keys: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[at] == keys, parts[at], 0).astype(np.int64)
+
+    return of

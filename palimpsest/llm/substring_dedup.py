@@ -13,15 +13,15 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm import kernels as K
 from palimpsest.llm.checkpoints import Tables
-from palimpsest.llm.packed import is_copy, later_copies, longs, map_packed, originals, small_batches, text_groups, unpack_texts, with_and_without_id
+from palimpsest.llm.packed import frequent_keys, is_copy, later_copies, longs, map_packed, originals, part_counts, small_batches, text_groups, unpack_texts, with_and_without_id
 
 
-def level_lengths(window: int, first: int = 8) -> list[int]:
-    """Lengths that double (the last step may fall short) up to the window."""
-    out = [window]
-    while out[0] > first:
-        out.insert(0, -(-out[0] // 2))
-    return out
+def level_lengths(window: int, first: int = 6) -> list[int]:
+    """Lengths that double as long as they do not pass the window, then the window itself."""
+    out = [first if first < window else max(1, window - 1)]
+    while out[-1] * 2 <= window:
+        out.append(out[-1] * 2)
+    return out if len(out) > 1 and out[-1] == window else [*out, window]
 
 
 def _candidates(w: K.Words, known: tuple[np.ndarray, np.ndarray], short: int, length: int, thinned: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -39,34 +39,55 @@ def _candidates(w: K.Words, known: tuple[np.ndarray, np.ndarray], short: int, le
     return at, hashes[at]
 
 
-def repeated_windows(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, keys): per document the hashes of its windows that also start in a document with a smaller id."""
+def _first_keys(w: K.Words, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the shortest windows, thinned so that each window of the next length keeps one."""
+    grams = K.ngrams(w.hashes, lengths[0])
+    whole = K.same_row(w.row, lengths[1])
+    at = np.unique(K.leftmost_minimum(grams, lengths[1] - lengths[0] + 1)[: len(whole)][whole]) if len(whole) else np.zeros(0, int)
+    return K.distinct_pairs(w.row[at], grams[at])
+
+
+def repeated_windows(texts: DataFrame, window: int, tables: Tables, most_frequent: int = 65_536, part_rows: int = 20_000) -> DataFrame:
+    """(doc_id, keys): per document the hashes of its windows that also start in a document with a smaller id.
+
+    Windows that very many documents share are found first. That they repeat is known, so their rows are dealt in parts, and only
+    the smallest id of each is aggregated. However frequent a window is, no task gets all its rows.
+    """
     lengths = level_lengths(window)
-    if len(lengths) == 1:
-        lengths = [max(1, window - 1), window]
+
+    def keys_of_all_levels(w: K.Words) -> np.ndarray:
+        out = [_first_keys(w, lengths)[1]]
+        for length in lengths[1:]:
+            ok = K.same_row(w.row, length)
+            out.append(K.distinct_pairs(w.row[: len(ok)][ok], K.ngrams(w.hashes, length)[ok])[1])
+        return np.concatenate(out)
+
+    parts = part_counts(frequent_keys(texts, keys_of_all_levels, most_frequent), part_rows)
+
+    def dealt(ids: np.ndarray, row: np.ndarray, keys: np.ndarray) -> tuple:
+        return longs(keys), ids[row].astype(np.int64), parts(keys)
 
     def first(ids: np.ndarray, w: K.Words, _) -> tuple:
-        grams = K.ngrams(w.hashes, lengths[0])
-        whole = K.same_row(w.row, lengths[1])
-        at = np.unique(K.leftmost_minimum(grams, lengths[1] - lengths[0] + 1)[: len(whole)][whole]) if len(whole) else np.zeros(0, int)
-        row, keys = K.distinct_pairs(w.row[at], grams[at])
-        return longs(keys), ids[row].astype(np.int64)
+        return dealt(ids, *_first_keys(w, lengths))
 
     def extend(short: int, length: int, thinned: bool):
         def f(ids: np.ndarray, w: K.Words, known: tuple) -> tuple:
             at, hashes = _candidates(w, known, short, length, thinned)
-            row, keys = K.distinct_pairs(w.row[at], hashes)
-            return longs(keys), ids[row].astype(np.int64)
+            return dealt(ids, *K.distinct_pairs(w.row[at], hashes))
 
         return f
 
-    of_key = Window.partitionBy("key")
-    rows = map_packed(texts, first, "key long, doc_id long")
+    of_part = Window.partitionBy("key", F.when(F.col("parts") > 0, F.pmod(F.xxhash64("doc_id"), "parts")))
+    schema = "key long, doc_id long, parts long"
+    rows = map_packed(texts, first, schema)
     for k, length in enumerate(lengths[1:], 1):
-        repeated = rows.select("key", "doc_id", F.count("*").over(of_key).alias("n")).where("n > 1")
+        repeated = rows.select("key", "doc_id", "parts", F.count("*").over(of_part).alias("n")).where("n > 1 OR parts > 0")
         known = repeated.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-        rows = map_packed(texts.join(known, "doc_id"), extend(lengths[k - 1], length, k == 1), "key long, doc_id long")
-    later = rows.select("key", "doc_id", F.min("doc_id").over(of_key).alias("least")).where("doc_id > least")
+        rows = map_packed(texts.join(known, "doc_id"), extend(lengths[k - 1], length, k == 1), schema)
+    found = tables.write(rows.select("key", "doc_id", "parts", F.min("doc_id").over(of_part).alias("least")).where("doc_id > least OR parts > 0"))
+    frequent = found.where("parts > 0")
+    least = tables.write(frequent.groupBy("key").agg(F.min("least").alias("first")))  # at most most_frequent rows
+    later = found.where("parts = 0").select("key", "doc_id").unionByName(frequent.join(least, "key").where("doc_id > first").select("key", "doc_id"))
     return later.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
@@ -74,9 +95,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text, kept_sha256 of every row.
 
     Words are runs of bytes other than 0x20 and 0x09-0x0D. A word goes if a window of so many consecutive words
-    that covers it also starts in a document with a smaller doc_id; windows are judged on the input. Shorter windows
-    (half the length) are counted first, thinned so that every full window keeps at least one of them, and only
-    where these repeat are windows of twice the length formed, until the full length is reached. A text that a smaller
+    that covers it also starts in a document with a smaller doc_id; windows are judged on the input. Windows of six words are
+    counted first, thinned so that every window of twelve keeps at least one of them; only where these repeat are windows of
+    twice the length formed, and so on until the full length is reached or none is left. A text that a smaller
     id holds too, byte for byte, goes whole (if it has a window) and is left out of the levels.
 
     A null or empty text has no words, its hash is that of the empty text. Fewer words than a window: nothing goes.
@@ -86,7 +107,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     packed, without_id = with_and_without_id(docs)
     with Tables(docs.sparkSession) as tables:
         copies = later_copies(text_groups(docs, tables))
-    flagged = repeated_windows(originals(packed, copies), window)
+        flagged = repeated_windows(originals(packed, copies), window, tables)
 
     def finish(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):

@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from palimpsest.llm.substring_dedup import dedup_substrings, level_lengths
+from palimpsest.llm.checkpoints import Tables
+from palimpsest.llm.packed import with_and_without_id
+from palimpsest.llm.substring_dedup import dedup_substrings, level_lengths, repeated_windows
 
 DOCS = "doc_id long, text string, doc_id_ string, key long, keys string"
 
@@ -58,6 +60,19 @@ def test_empty_table(spark):
     assert run(spark, [], 13) == []
 
 
-def test_levels_double_up_to_the_window():
-    assert level_lengths(13) == [7, 13]
-    assert level_lengths(50) == [7, 13, 25, 50]
+    assert level_lengths(13) == [6, 12, 13] and level_lengths(50) == [6, 12, 24, 48, 50] and level_lengths(24) == [6, 12, 24] and level_lengths(3) == [2, 3] and level_lengths(1) == [1, 1]
+    assert level_lengths(13) == [6, 12, 13] and level_lengths(50) == [6, 12, 24, 48, 50] and level_lengths(24) == [6, 12, 24] and level_lengths(3) == [2, 3] and level_lengths(1) == [1, 1]
+
+
+def test_windows_that_very_many_share(spark):
+    r = random.Random(12)
+    line = [f"c{i}" for i in range(20)]
+    rows = [(i, " ".join([f"u{r.randrange(10**6)}" for _ in range(r.randrange(3, 9))] + (line if i % 3 else []) + [f"u{r.randrange(10**6)}"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed, _ = with_and_without_id(df)
+    with Tables(spark) as tables:
+        found = repeated_windows(packed.select("doc_id", "packed"), 13, tables, part_rows=50)
+        keys = {x["doc_id"]: len(set(x["keys"])) for x in found.collect()}
+        parts = [x["parts"] for x in tables.paths[0][0].collect()]
+    assert keys == {i: 8 for i in range(2, 400) if i % 3} and min(parts) == 6
+    assert run(spark, rows, 13) == brute(rows, 13)
