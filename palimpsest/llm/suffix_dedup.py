@@ -103,15 +103,14 @@ def shared_offsets(order: list[tuple[int, int]], lefts: list[bytes], length: int
     return out
 
 
-RUN = "bucket long, shared binary, sizes binary, rest binary, left_sizes binary, lefts binary, contexts binary"
+RUN = "bucket long, shared binary, sizes binary, rest binary, left_sizes binary, lefts binary, contexts binary, again binary"
 
 
-def _encode(bucket: int, members: list[tuple[bytes, bytes, int]]) -> tuple:
+def _encode(bucket: int, members: list[tuple[bytes, bytes, int, bool]]) -> tuple:
     members.sort()
     shared, rest = front_code([m[0] for m in members])
-    small = lambda x: np.array(x, np.uint16 if max(x, default=0) < 1 << 16 else np.uint32)
-    wide = lambda x: small(x).astype(np.uint32).tobytes()
-    return bucket, wide(shared), wide([len(x) for x in rest]), b"".join(rest), wide([len(m[1]) for m in members]), b"".join(m[1] for m in members), np.array([m[2] for m in members], np.int64).tobytes()
+    wide = lambda x: np.array(x, np.uint32).tobytes()
+    return bucket, wide(shared), wide([len(x) for x in rest]), b"".join(rest), wide([len(m[1]) for m in members]), b"".join(m[1] for m in members), np.array([m[2] for m in members], np.int64).tobytes(), bytes(m[3] for m in members)
 
 
 def _split(sizes: bytes, data: bytes) -> list[bytes]:
@@ -120,7 +119,7 @@ def _split(sizes: bytes, data: bytes) -> list[bytes]:
 
 
 def _merge_runs(length: int):
-    """Of the runs of one bucket: (context, offsets) with the distances back at which its windows occur again."""
+    """Of the runs of one bucket: (context, whole, offsets), the distances back at which its windows occur again, or all of them."""
 
     def f(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -128,36 +127,38 @@ def _merge_runs(length: int):
         lefts = [_split(r["left_sizes"], r["lefts"]) for r in rows]
         contexts = [np.frombuffer(r["contexts"], np.int64).tolist() for r in rows]
         taken = [0] * len(rows)
-        order, left, ids = [], [], []
+        order, left, ids, again = [], [], [], []
         for r, common, s in merge(runs):
+            k = taken[r]
             order.append((common, len(s)))
-            left.append(lefts[r][taken[r]])
-            ids.append(contexts[r][taken[r]])
-            taken[r] += 1
-        found = shared_offsets(order, left, length)
-        some = np.flatnonzero(found.any(1))
+            left.append(lefts[r][k])
+            ids.append(contexts[r][k])
+            again.append(rows[r]["again"][k])
+            taken[r] = k + 1
+        found, whole = shared_offsets(order, left, length), np.array(again, bool)
+        found[whole] = False
+        some = np.flatnonzero(found.any(1) | whole)
         counts, (_, back) = found[some].sum(1), np.nonzero(found[some])
         offsets = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(back.astype(np.int32)))
-        return pa.table({"context": pa.array([ids[i] for i in some], pa.int64()), "offsets": offsets})
+        return pa.table({"context": pa.array([ids[i] for i in some], pa.int64()), "whole": pa.array(whole[some]), "offsets": offsets})
 
     return f
 
 
-def open_windows(texts: DataFrame, members: DataFrame, length: int, bucket_rows: int) -> DataFrame:
-    """(context, offsets): of surroundings that occur once, the distances back at which a window occurs again.
+def repeated_offsets(texts: DataFrame, members: DataFrame, length: int, bucket_rows: int, tables: Tables) -> DataFrame:
+    """(context, whole, offsets): of surroundings, the distances back at which a window occurs again, or that all do.
 
-    members has one row for each distinct surroundings of a gram: (key, context, doc_id). Grams are dealt to
-    buckets of about bucket_rows suffixes. A gram that alone has more than a bucket is split by window hash instead (of
-    the window, its gram and the distance between them, so that no window is taken for its own copy).
+    members has one row for each distinct surroundings of a repeated gram: (key, context, doc_id, n), n being how often they
+    occur. Grams are dealt to buckets of about bucket_rows suffixes, by ranges of a hash; in a bucket the suffixes are in
+    order of their bytes. A gram that alone has more than a bucket is split by window hash instead (of the window, its
+    gram and the distance between them, so that no window is taken for its own copy).
     """
-    members = members.select("key", "context", "doc_id")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     buckets = max(1, -(-members.count() // bucket_rows))
-    large = cut(sizes.where(F.col("n") > bucket_rows).select("key", F.lit(True).alias("large")))
-    marked = members.join(large, "key", "left").select("doc_id", "context", F.coalesce("large", F.lit(False)).alias("large"))
+    large = tables.write(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.lit(True).alias("large")))
+    marked = members.join(large, "key", "left").select("doc_id", "context", F.coalesce("large", F.lit(False)).alias("large"), (F.col("n") > 1).alias("again"))
     pick = lambda c: F.collect_list(F.when(c, F.col("context")))
-    todo = marked.groupBy("doc_id").agg(pick(~F.col("large")).alias("small"), pick(F.col("large")).alias("large"))
-    rows = texts.join(todo, "doc_id").select("doc_id", "packed", "small", "large")
+    todo = marked.groupBy("doc_id").agg(pick(~F.col("large")).alias("small"), pick(F.col("large") & ~F.col("again")).alias("large"), pick(~F.col("large") & F.col("again")).alias("again"))
+    rows = texts.join(todo, "doc_id").select("doc_id", "packed", "small", "large", "again")
 
     def write_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -166,7 +167,7 @@ def open_windows(texts: DataFrame, members: DataFrame, length: int, bucket_rows:
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
                 columns = list(zip(*(_encode(k, v) for k, v in sorted(held.items())), strict=True))
-                kinds = [pa.int64(), *[pa.binary()] * 6]
+                kinds = [pa.int64(), *[pa.binary()] * 7]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [x.split()[0] for x in RUN.split(", ")])
                 held.clear()
 
@@ -174,19 +175,22 @@ def open_windows(texts: DataFrame, members: DataFrame, length: int, bucket_rows:
             for first, end, data, off in K.text_pieces(unpack_texts(b.column(1))):
                 a = anchors(data, off, length)
                 wanted = np.flatnonzero(K.in_sets(a.row, a.contexts, *_own(b, 2, first, end)))
+                again = K.in_sets(a.row, a.contexts, *_own(b, 4, first, end))
+                _, once = np.unique(np.stack([a.row[wanted].astype(U), a.contexts[wanted]]), axis=1, return_index=True)
+                wanted = wanted[np.sort(once)]  # surroundings that a text holds twice are one member
                 raw = data.tobytes()
                 spread = K.mix(K.mix(a.keys + U(1 << 41)))  # named grams have small hashes
                 for i in wanted.tolist():
                     at = int(a.at[i])
                     bucket = (int(spread[i]) * buckets) >> 64
-                    held.setdefault(bucket, []).append((raw[at : a.high[i]], raw[a.low[i] : at], int(a.contexts[i : i + 1].view(np.int64)[0])))
+                    held.setdefault(bucket, []).append((raw[at : a.high[i]], raw[a.low[i] : at], int(a.contexts[i : i + 1].view(np.int64)[0]), bool(again[i])))
                 total += len(wanted)
                 if total > 50_000:
                     yield from flush()
                     total = 0
         yield from flush()
 
-    merged = rows.where("size(small) > 0").mapInArrow(write_runs, RUN).groupBy("bucket").applyInArrow(_merge_runs(length), "context long, offsets array<int>")
+    merged = rows.where("size(small) > 0").mapInArrow(write_runs, RUN).groupBy("bucket").applyInArrow(_merge_runs(length), "context long, whole boolean, offsets array<int>")
 
     def hash_windows(ids, first, data, off, b) -> tuple:
         a = anchors(data, off, length)
@@ -200,10 +204,18 @@ def open_windows(texts: DataFrame, members: DataFrame, length: int, bucket_rows:
         hashes = K.mix(K.range_hash(K.prefix_sums(data), start, start + length) + K.mix(a.keys[of] + back.astype(U))) if len(start) else np.zeros(0, U)
         return signed(hashes), signed(a.contexts[of]), back.astype(np.int32)
 
-    windows = _map(rows.where("size(large) > 0"), hash_windows, "window long, context long, back int").distinct()
-    again = windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    split = windows.join(again, "window").groupBy("context").agg(F.collect_set("back").alias("offsets"))
-    return merged.unionByName(split)
+    out = merged
+    if not large.isEmpty():
+        # All windows of surroundings that occur more than once do; those of the others are looked for among them too.
+        windows = _map(rows.where("size(large) > 0"), hash_windows, "window long, context long, back int").distinct()
+        several = members.join(large, "key").where("n > 1")
+        theirs = texts.join(several.groupBy("doc_id").agg(F.collect_list("context").alias("large")), "doc_id").select("doc_id", "packed", F.array().cast("array<long>").alias("small"), "large")
+        held = tables.write(windows.unionByName(_map(theirs, hash_windows, "window long, context long, back int").distinct()))
+        again = tables.write(held.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
+        split = held.join(again, "window").groupBy("context").agg(F.collect_set("back").alias("offsets"))
+        split = split.join(several.select("context"), "context", "left_anti").select("context", F.lit(False).alias("whole"), "offsets")
+        out = merged.unionByName(split).unionByName(several.select("context", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("offsets")))
+    return tables.write(out)
 
 
 def dedup_suffixes(docs: DataFrame, length: int = 200, bucket_rows: int = 20_000) -> DataFrame:
@@ -218,32 +230,30 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, bucket_rows: int = 20_000
     64-bit hash, suffixes by their bytes. An empty table gives no rows; other columns are ignored.
     """
     packed, without_id = with_and_without_id(docs)
-    groups = cut(text_groups(docs))
-    later = groups.where("doc_id > least").groupBy("doc_id").agg(F.collect_set("tag").alias("copied"))
-    texts = originals(packed, later)
 
     def first_keys(ids, first, data, off, b) -> tuple:
         a = anchors(data, off, length)
         return signed(a.keys), ids[a.row].astype(np.int64)
 
-    rows = _map(texts, first_keys, "key long, doc_id long")
-    repeated = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    known = rows.join(repeated, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
-
     def surroundings(ids, first, data, off, b) -> tuple:
         a = anchors(data, off, length)
         alive = K.in_sets(a.row, a.keys, *_own(b, 2, first, first + len(ids)))
         return signed(a.keys[alive]), signed(a.contexts[alive]), ids[a.row[alive]].astype(np.int64)
 
-    around = cut(_map(texts.join(known, "doc_id"), surroundings, "key long, context long, doc_id long"))
-    contexts = around.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    undecided = contexts.where("n = 1").select("key").distinct()
-    members = cut(contexts.join(undecided, "key"))
-    windows = cut(open_windows(texts, members, length, bucket_rows))
-
-    whole = around.join(contexts.where("n > 1").select("key", "context"), ["key", "context"]).groupBy("doc_id").agg(F.collect_set("context").alias("whole"))
-    part = members.where("n = 1").join(windows, "context").groupBy("doc_id").agg(F.collect_list("context").alias("part"), F.collect_list("offsets").alias("offsets"))
-    same = groups.where("n > 1").groupBy("doc_id").agg(F.collect_set("tag").alias("same"))
+    # What is joined by gram or surroundings is a table first, so that Spark can split a frequent one.
+    with Tables(docs.sparkSession) as tables:
+        groups = text_groups(docs, tables)
+        texts = originals(packed, later_copies(groups))
+        rows = _map(texts, first_keys, "key long, doc_id long")
+        repeated = tables.write(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+        known = rows.join(repeated, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+        around = tables.write(_map(texts.join(known, "doc_id"), surroundings, "key long, context long, doc_id long"))
+        members = tables.write(around.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")))
+        found = repeated_offsets(texts, members, length, bucket_rows, tables)
+
+        whole = around.join(found.where("whole").select("context"), "context").groupBy("doc_id").agg(F.collect_set("context").alias("whole"))
+        part = members.where("n = 1").join(found.where("NOT whole"), "context").groupBy("doc_id").agg(F.collect_list("context").alias("part"), F.collect_list("offsets").alias("offsets"))
+        same = groups.where("n > 1").groupBy("doc_id").agg(F.collect_set("tag").alias("same"))
 
     def finish(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
