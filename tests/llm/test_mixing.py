@@ -2,6 +2,7 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsest.llm import mixing as M
 
@@ -67,6 +68,49 @@ def test_weights_quotas_and_permutations(spark, kind):
             assert times[i, s, n, e] == c
 
 
+def signed_hash(spark, rows, columns):
+    """Spark's hash of each row, by which the permutation orders."""
+    kinds = ", ".join(f"c{i} {k}" for i, k in enumerate(columns))
+    df = spark.createDataFrame(rows, kinds)
+    return [r[0] for r in df.select(F.xxhash64(*df.columns)).collect()]
+
+
+@pytest.mark.parametrize("kind", [{"target_entropy": 0.9}, {"target_entropy": 0.97, "budget": 1500}])
+def test_the_permutation_against_plain_python(spark, kind):
+    rows = [*corpus(), *[(7777, "big", "t t t", 1, "b", 2)] * 200]  # equal rows, many times a block
+    out = M.mix_sources(spark.createDataFrame(rows, SCHEMA), block_docs=16, seed=7, **kind).collect()
+    counts = Counter((i, s or "", len((t or "").split())) for i, s, t, *_ in rows)
+    weight = {r["source"]: r["weight"] for r in out}
+    tokens, distinct = Counter(), Counter()
+    for (_, s, n), c in counts.items():
+        tokens[s] += n * c
+        distinct[s] += 1
+    budget = kind.get("budget") or sum(tokens.values())
+    expect = Counter()
+    keys = list(counts)
+    into = signed_hash(spark, [(7, i, n) for i, _, n in keys], ["int", "long", "long"])
+    for s in weight:
+        blocks = defaultdict(list)
+        for (i, src, n), h in zip(keys, into, strict=True):
+            if src == s:
+                blocks[h % -(-distinct[s] // 16)].append((i, n))
+        quota = math.floor(budget * weight[s])
+        full = quota // tokens[s]
+        for e in range(full + 1):
+            left, at = tokens[s] if e < full else quota - full * tokens[s], 0
+            order = sorted(zip(signed_hash(spark, [(7, s, b, e) for b in blocks], ["int", "string", "long", "long"]), blocks, strict=True))
+            for _, b in order:
+                if at > left or (at == left and e == full):
+                    break
+                inside = signed_hash(spark, [(7, i, e) for i, _ in blocks[b]], ["int", "long", "long"])
+                for _, i, n in sorted(((h, i, n) for h, (i, n) in zip(inside, blocks[b], strict=True)), key=lambda x: (x[0], x[1] is not None, x[1] or 0, x[2])):
+                    for _ in range(counts[i, s, n]):
+                        if at + n <= left:
+                            expect[i, s, n, e, b, round(((e * tokens[s]) + at) / max(quota, 1), 9)] += 1
+                        at += n
+    assert Counter((r["doc_id"], r["source"], r["n_tokens"], r["epoch"], r["block"], round(r["position"], 9)) for r in out) == expect
+
+
 def test_empty_and_bad(spark):
     assert M.mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
     with pytest.raises(ValueError):
