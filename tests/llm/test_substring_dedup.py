@@ -60,7 +60,7 @@ def test_empty_table(spark):
     assert run(spark, [], 13) == []
 
 
-    assert level_lengths(13) == [6, 12, 13] and level_lengths(50) == [6, 12, 24, 48, 50] and level_lengths(24) == [6, 12, 24] and level_lengths(3) == [2, 3] and level_lengths(1) == [1, 1]
+def test_lengths_double():
     assert level_lengths(13) == [6, 12, 13] and level_lengths(50) == [6, 12, 24, 48, 50] and level_lengths(24) == [6, 12, 24] and level_lengths(3) == [2, 3] and level_lengths(1) == [1, 1]
 
 

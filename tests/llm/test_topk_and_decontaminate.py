@@ -1,6 +1,8 @@
 import math
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,9 +61,10 @@ def test_reordered_passages_are_found(spark):
     bench = spark.createDataFrame([(10, ITEM, "x"), (11, None, "x"), (12, "four words are few", "x"), (None, ITEM, "x"), (13, "", "x")], "item_id long, text string, doc_id string")
     got = sorted((r["doc_id"], r["item_id"], r["n_matched"], r["n_tiles"]) for r in decontaminate.contaminated(df, bench).collect())
     assert got == [(1, 10, 14, 1), (1, 10, 14, 1), (2, 10, 14, 2), (5, 10, 14, 1), (8, 10, 14, 1)]
+    assert sorted((r["doc_id"], r["item_id"], r["n_matched"], r["n_tiles"]) for r in decontaminate.contaminated(df, bench, most_chars=0).collect()) == got
     kept = decontaminate.clean(df, bench)
     assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "6", "7"]
-    assert sorted(r["doc_id"] for r in decontaminate.contaminated(df, bench, most_words=1).collect()) == [1, 1, 2, 5, 8]
+    assert sorted(str(r["doc_id"]) for r in decontaminate.clean(df, bench, most_chars=0).collect()) == ["3", "4", "6", "7"]
 
 
 def test_nothing_to_compare(spark):
@@ -69,3 +72,64 @@ def test_nothing_to_compare(spark):
     assert decontaminate.contaminated(docs, bench).collect() == []
     some = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
     assert decontaminate.contaminated(some, bench).collect() == [] and decontaminate.clean(some, bench).count() == 1
+
+
+def fold(text):
+    return re.sub(r"[!-/:-@\[-`{-~]", " ", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")).split()
+
+
+def brute_tiles(doc, item, least):
+    """Greedy tiling by trying every pair of positions again and again."""
+    least, used_i, used_j, tiles = min(least, len(item)), set(), set(), []
+    while item:
+        best = None
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and i + n not in used_i and j + n not in used_j:
+                    n += 1
+                if n >= least and (best is None or n > best[0]):
+                    best = (n, i, j)
+        if best is None:
+            break
+        n, i, j = best
+        used_i |= set(range(i, i + n))
+        used_j |= set(range(j, j + n))
+        tiles.append(best)
+    return tiles
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_tiles_against_brute_force(spark, threshold):
+    r = random.Random(6)
+    vocab = [f"w{i}" for i in range(30)]
+    common = [r.choice(vocab) for _ in range(8)]  # a passage, and so its seeds, that many items share
+    items = [[r.choice(vocab) for _ in range(r.randrange(1, 20))] + (common if k % 2 else []) + [r.choice(vocab) for _ in range(r.randrange(0, 9))] for k in range(24)]
+    items += [["w1"] * 12, ["w1", "w2"] * 6, items[3], common, ["lone"], ["lone", "pair"]]
+    docs = []
+    for _ in range(40):
+        parts = [r.choice(items) for _ in range(3)]
+        cut = [p[a : a + r.randrange(1, 15)] for p in parts for a in (r.randrange(len(p)),)]
+        docs.append([w for p in cut + [[r.choice(vocab) for _ in range(6)]] for w in p])
+    docs += [["w1"] * 40, ["lone", "pair"], common * 3, []]
+    expect = []
+    for d, doc in enumerate(docs):
+        for k, item in enumerate(items):
+            tiles = brute_tiles(doc, item, 5)
+            matched = sum(n for n, *_ in tiles)
+            if matched and matched >= threshold * len(item):
+                expect.append((d, k, len(item), matched, len(tiles)))
+    df = spark.createDataFrame([(d, "; ".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(x).upper()) for k, x in enumerate(items)], "item_id long, text string")
+    for most in (16_000_000, 0):
+        got = sorted(tuple(x)[:5] for x in decontaminate.contaminated(df, bench, threshold, most_chars=most).collect())
+        assert got == sorted(expect)
+        bad = {d for d, _, n, *_ in expect if n >= 5}
+        assert sorted(x["doc_id"] for x in decontaminate.clean(df, bench, threshold, most_chars=most).collect()) == [d for d in range(len(docs)) if d not in bad]
+
+
+def test_frequent_seeds_are_spared_but_no_find(spark):
+    items = decontaminate.Items([0, 1], [np.arange(20, dtype=np.uint64), np.append(np.arange(10, dtype=np.uint64), np.arange(100, 110, dtype=np.uint64))], 5, 0.5)
+    keys, item = items.seeds[5]
+    assert [(item == k).sum() for k in (0, 1)] == [15, 15]  # of 16 seeds one, and that a shared one
+    assert decontaminate.spare_seeds(20, 5, 0.5) == 1 and decontaminate.spare_seeds(60, 5, 0.5) == 5 and decontaminate.spare_seeds(3, 5, 0.5) == 0
