@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, jaccard_join, language_id, mixing, secret_scan
+from palimpsest.llm.checkpoints import Tables
 
 
 def keep_recognised_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,14 +48,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The result of all stages; each is written as Parquet in the shared folder and read again by the next."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """The result of all stages; each is written as Parquet in the shared folder and read again by the next.
+
+    A stage's input goes when its output is written, all of it if a stage fails; what the result still reads goes at the end of the driver.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            path = f"{folder}/{k}_{name}"
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
+    with Tables(spark) as tables:
+        for k, (_, stage) in enumerate(STAGES):
+            before, docs = docs, stage(spark, docs, sf_dir)
+            if k + 1 < len(STAGES):
+                docs = tables.write(docs)
+                tables.drop(before)
     return docs
