@@ -24,7 +24,7 @@ al como con cual de del el ella ellos en entre era es esta este ha hay la las lo
 """.split()
 )
 SKIPPED_TAGS = frozenset("nav footer aside form button select textarea iframe object dialog menu datalist fieldset video audio canvas".split())
-RAW = "script|style|noscript|template|svg|annotation-xml|annotation|head|title"
+RAW = frozenset("script style noscript template svg annotation-xml annotation head title".split())
 BLOCK_TAGS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr".split())
 # Parts of class and id tokens: certain names, names that may as well be a topic or a layout, and words that add nothing to either.
@@ -38,7 +38,8 @@ DOUBTFUL = frozenset("promotion sponsor consent notice alert overlay widget head
 NEUTRAL = frozenset("site page main global top bottom primary secondary inner outer wrapper wrap container box bar block section area list links link item items post posts user panel".split())
 ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog".split())
 KEPT_NAMES = re.compile(r"(?<![a-z])(?:article|entry|post|content|main)[-_]?(?:header|body|content|text|title)")
-TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+MARK = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -93,6 +94,66 @@ def markup_says(tag: str, attributes: str) -> str:
     return said
 
 
+class TagEnds:
+    """Where tags end, in time linear in the page: a place from which no end was found is never searched from again."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def find(self, at: int) -> int:
+        """The position after the > that ends a tag whose name ends here, or -1. Quoted ones do not count, unless no other is left."""
+        seen, i = [], at
+        while True:
+            m = MARK.search(self.page, i)
+            if m is None or m.start() in self.dead:
+                self.dead.update(seen)
+                return self.page.find(">", at) + 1 or -1 if at <= self.last[">"] else -1
+            c, i = m[0], m.end()
+            if c == ">":
+                return i
+            seen.append(m.start())
+            if m.start() < self.last[c]:
+                i = self.page.index(c, i) + 1
+
+
+def tokens(page: str) -> Iterator[tuple[str, str, bool, str]]:
+    """(text, "", False, "") or ("", tag, whether it closes, attributes) in order; comments and elements without text are left out.
+
+    A < that starts no tag is text, so is one that no > follows. An unclosed comment or script goes to the end of the page.
+    """
+    ends, at, n = TagEnds(page), 0, len(page)
+    while at < n:
+        start = page.find("<", at)
+        if start < 0:
+            start = n
+        if start > at:
+            yield page[at:start], "", False, ""
+        if start == n:
+            return
+        at = start + 1
+        if page.startswith("!--", at):
+            end = page.find("-->", at + 3)
+            at = n if end < 0 else end + 3
+            continue
+        name = NAME.match(page, at)
+        end = -1
+        if start < ends.last[">"] and (name or page[at : at + 1] in ("!", "?")):
+            end = ends.find(name.end()) if name else page.find(">", at) + 1
+        if end < 0:
+            yield "<", "", False, ""
+            continue
+        at = end
+        if not name:
+            continue
+        tag, closes = name[2].lower(), name[1] == "/"
+        if tag in RAW and not closes:
+            m = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = m.end() if m else n
+            continue
+        yield "", tag, closes, page[name.end() : end - 1]
+
+
 def blocks(page: str) -> list[Block]:
     """Blocks of text in page order, with the link characters in each, whether an article holds it, and whether markup says it is no content or hints at it."""
     out: list[Block] = []
@@ -110,16 +171,12 @@ def blocks(page: str) -> list[Block]:
         parts.clear()
         links, heading = 0, False
 
-    for m in TOKEN.finditer(page):
-        if m[5] is not None:
-            parts.append(m[5])
-            if anchors:
-                links += len(m[5].strip())
-            continue
-        tag = (m[3] or "").lower()
+    for text, tag, ending, attributes in tokens(page):
         if not tag:
+            parts.append(text)
+            if anchors:
+                links += len(text.strip())
             continue
-        ending = m[2] == "/"
         if tag == "a":
             anchors = 0 if ending else 1
             continue
@@ -141,9 +198,9 @@ def blocks(page: str) -> list[Block]:
                 if tag in BLOCK_TAGS:
                     close()
                 continue
-        void = m[4].rstrip().endswith("/") or tag in ("input", "hr", "meta", "link", "img", "source")
+        void = attributes.rstrip().endswith("/") or tag in ("input", "hr", "meta", "link", "img", "source")
         opens = not ending and not void and tag not in ("body", "html", "article", "main")
-        says = markup_says(tag, m[4]) if opens and m[4] else ""
+        says = markup_says(tag, attributes) if opens and attributes else ""
         if opens and (tag in SKIPPED_TAGS or (tag == "header" and not inside) or says == "certain"):
             close()
             skip, nested = tag, 1
@@ -177,14 +234,12 @@ def no_prose(b: Block) -> bool:
     return b.code or b.text.count("|") >= max(3, len(b.text.split()) / 5)
 
 
-def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
-    """First each block alone is good, bad, near good or short; then short and near ones take the labels around them.
+def first_pass(found: list[Block], rules: Rules) -> list[str]:
+    """Each block alone: good, bad, near good or short, by link density, length and the share of stop words.
 
-    An <article> or <main> is evidence: in it more links and fewer frequent words are allowed, one good neighbour is
-    enough for a short block, and beyond its edges stands a good neighbour for blocks in it, a bad one for those outside. Where the text in it as a whole lacks
-    frequent words (another language), or a block is no prose, their share decides nothing there.
-    Where a name only hints at no content, the container is no evidence, and short and near blocks need good neighbours
-    on both sides.
+    In an <article> or <main> more links and fewer stop words are allowed. Where the text in it as a whole lacks stop words
+    (another language), or a block is no prose, their share decides nothing there. Where a name only hints at no content,
+    the container is no evidence.
     """
     article = any(b.inside and not b.skipped for b in found)
     told = not article or stop_density(" ".join(b.text for b in found if b.inside and not b.skipped and not no_prose(b))) >= rules.few_stops_inside
@@ -203,6 +258,18 @@ def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
                 labels.append("near")
             else:
                 labels.append("near" if stops >= (rules.few_stops_inside if inside else rules.few_stops) else "bad")
+    return labels
+
+
+def second_pass(found: list[Block], labels: list[str]) -> list[str]:
+    """Short and near blocks take the labels of the nearest decided blocks on both sides.
+
+    Beyond the edges of an <article> or <main> stands a good neighbour for blocks in it, a bad one for those outside, and one good
+    neighbour is enough for a short block in it; beyond those of a page without either a bad one, if any block is good. Where a
+    name only hints at no content, both neighbours must be good.
+    """
+    article = any(b.inside and not b.skipped for b in found)
+    edge = "bad" if "good" in labels else None
 
     def nearest(order: list[int]) -> list[str | None]:
         out: list[str | None] = [None] * len(found)
@@ -210,7 +277,7 @@ def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
         for i in order:
             if found[i].inside != region:
                 region = found[i].inside
-                last = ("good" if region else "bad") if article else None
+                last = ("good" if region else "bad") if article else edge
             out[i] = last
             last = labels[i] if labels[i] in ("good", "bad") else last
         return out
@@ -226,11 +293,14 @@ def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
                 label = "good" if label == "near" or b.inside or (b.heading and n == "good") else "bad"
             else:
                 label = "good" if label == "near" and not around else "bad"
-        if label == "good":
-            out.append(b)
+        out.append(label)
     return out
 
 
+def main_blocks(found: list[Block], rules: Rules) -> list[Block]:
+    return [b for b, label in zip(found, second_pass(found, first_pass(found, rules)), strict=True) if label == "good"]
+
+
 def main_text(page: str | None, rules: Rules | None = None) -> str:
     return " ".join(b.text for b in main_blocks(blocks(page or ""), rules or Rules()))
 
@@ -241,7 +311,7 @@ def extract(pages: DataFrame, rules: Rules | None = None) -> DataFrame:
     Markup says first what is no content (menus, forms, footers, notices and the like, by tag, role, or whole names in class or id); the
     other blocks are judged by link density, length and the share of frequent words, then short and doubtful ones by the
     nearest decided blocks. That a page marks its article is evidence for the blocks in it and against the others, see
-    main_blocks().
+    first_pass() and second_pass().
 
     Null html counts as empty, and a page without main text gives ''. Character references are decoded; white space in
     a block becomes one space, and one space joins the blocks. Pages are judged one by one, whatever their length:

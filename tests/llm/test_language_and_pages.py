@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -221,3 +222,66 @@ def test_doubtful_names_are_judged_by_the_block_rules():
 def test_figures_and_formulas_stay():
     page = f"<article><p>{ARTICLE}</p><figure><img src=x><figcaption>The old house</figcaption></figure><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p><p>{ARTICLE}</p></article>"
     assert main_text(page) == f"{ARTICLE} The old house So x=2 holds. {ARTICLE}"
+
+
+@pytest.mark.parametrize("piece", ["if (a<b && ", "<b ", '<b "', '<b ">" ', "<!-- ", "<script ", "<p title='x> ", "<div class=menu>", "<p>x", "</", "<! ", "&", "<a "])
+def test_a_megabyte_of_malformed_markup_takes_time_in_proportion(piece):
+    def took(n):
+        page, start = piece * (n // len(piece)), time.process_time()
+        main_text(page)
+        return time.process_time() - start
+
+    took(10_000)
+    assert took(1_000_000) < 5
+
+
+def test_malformed_markup():
+    said = lambda x: main_text(f"<article><p>{ARTICLE}</p>{x}<p>{ARTICLE}</p></article>").removeprefix(f"{ARTICLE} ").removesuffix(f" {ARTICLE}")
+    assert said("<p>if a<b then c</p>") == "if a" or "then c" in said("<p>if a<b then c</p>")
+    assert said("<p>3 < 4 and 5 > 4</p>") == "3 < 4 and 5 > 4"
+    assert said("<p title='a > b' class=\"x\">kept</p>") == "kept"
+    assert said("<p>one<!-- > two --> three</p>") == "one three"
+    assert said("<p>one<SCRIPT>two</p></ScRiPt > three</p>") == "one three"
+    assert main_text(f"<article><p>{ARTICLE}</p><!-- never closed <p>{ARTICLE}</p></article>") == ARTICLE
+    assert main_text(f"<article><p>{ARTICLE}</p></article><p class='never closed") == ARTICLE
+
+
+LONG = f"{ARTICLE} {ARTICLE}"
+MIDDLE = "It was late when the two of them came back to the house by the river, and they were in it until the day."
+# Pages without an article and without a name that tells anything; beside each block, whether it is content.
+NEUTRAL = [
+    [
+        ('<div class="c1"><a href="/">Home</a> <a href="/n">News</a> <a href="/k">Contact</a></div>', ""),
+        ("<div>Superphone Ultra 128GB sale: massive discounts, free shipping, lowest prices guaranteed, order online today!</div>", ""),
+        ("<h1>A walk by the river</h1>", "A walk by the river"),
+        (f'<div class="c2">{LONG}</div>', LONG),
+        (f"<p>{MIDDLE}</p>", MIDDLE),
+        ("<p>Short words.</p>", "Short words."),
+        (f"<p>{LONG}</p>", LONG),
+        ('<div>See also: <a href="/1">The house that stood by the river and the light</a></div>', ""),
+        ("<div>Example Media Ltd.</div>", ""),
+    ],
+    [
+        ("<div>Login</div>", ""),
+        (f"<div>{LONG}</div>", LONG),
+        ('<div><a href="/a">Share this</a> <a href="/b">Print this</a></div>', ""),
+        (f"<div>{LONG}</div>", LONG),
+        ("<div>Imprint 2024</div>", ""),
+    ],
+]
+
+
+@pytest.mark.parametrize("parts", NEUTRAL)
+def test_neutral_pages_with_known_text(parts):
+    expect = " ".join(x for _, x in parts if x)
+    assert main_text("<html><body>" + "".join(x for x, _ in parts) + "</body></html>") == expect
+
+
+def test_both_passes_decide():
+    found = html_extract.blocks("".join(x for x, _ in NEUTRAL[0]))
+    rules, expect = html_extract.Rules(), [bool(x) for _, x in NEUTRAL[0]]
+    labels = html_extract.first_pass(found, rules)
+    assert {"good", "bad", "near", "short"} == set(labels)
+    assert [x == "good" for x in html_extract.second_pass(found, labels)] == expect
+    assert [x == "good" for x in labels] != expect and [x != "bad" for x in labels] != expect  # the first pass alone
+    assert [x == "good" for x in html_extract.second_pass(found, ["near"] * len(found))] != expect  # the second alone
