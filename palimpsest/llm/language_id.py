@@ -172,7 +172,7 @@ def train(docs: DataFrame, rows: int = 6000, longest: int = 4) -> Model:
                     for kind, keys, n in parts:
                         yield pa.record_batch([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array([lang] * len(keys), pa.string()), pa.array(n)], ["kind", "key", "lang", "n"])
 
-    counted = sample.select("lang", "text").mapInArrow(count, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).toArrow()
+    counted = sample.select("lang", "text").mapInArrow(count, "kind int, key long, lang string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).coalesce(8).toArrow()
     kind, key, n = (counted.column(i).to_numpy() for i in (0, 1, 3))
     lang = counted.column(2).combine_chunks().dictionary_encode()
     names = np.array(lang.dictionary.to_pylist() if len(lang) else [], object)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.llm.sampling import bounded_sample
+
 # The rules every scan applies, by kind and in this order.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -19,13 +21,12 @@ STATES = len(ALPHABET) + 2  # the start, then the alphabet, then any other chara
 
 
 def labelled_samples(docs: DataFrame, rows: int = 2000, randoms: int = 4000) -> DataFrame:
-    """(token, is_random): identifiers made of the words of so many rows (the first by hash of doc_id), and digests.
+    """(token, is_random): identifiers made of the words of about so many rows (chosen by hash of doc_id), and digests.
 
     Both bounds are parameters; the models need a few thousand strings of each kind, whatever the corpus holds.
     """
-    chosen = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
     words = (
-        docs.join(F.broadcast(chosen), "doc_id", "left_semi")
+        bounded_sample(docs.select("doc_id", "text"), "doc_id", rows)
         .select(F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{3,}"), F.lit(0)).alias("w"))
         .where("size(w) > 1")
         .select(F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.element_at("w", i).alias("a"), F.element_at("w", i + 1).alias("b")))).alias("i", "p"))
