@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palimpsest.llm.checkpoints import Tables
+
 SCALE = 1024
+LONG = 1 << 63
+PLACED = "vec_id long, vec array<long>, asks boolean, dim int, cluster int, far array<double>, norm double"
+FOUND = "query_id long, vec_id long, key binary, score long"
 
 
 def whole_numbers(vectors: DataFrame) -> DataFrame:
@@ -34,78 +41,156 @@ def choose_pivots(vectors: DataFrame, pivots: int, sample: int) -> dict[int, np.
     return out
 
 
-def search_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, query_far: np.ndarray, far: np.ndarray, k: int, step: int = 256) -> list[tuple]:
-    """(query_id, vec_id, score) of the k best of these rows for each query.
+def place(rows: DataFrame, points: dict[int, np.ndarray]) -> DataFrame:
+    """rows (vec_id, vec, asks) with the pivot table: the distances to all pivots of their dimension, the nearest one, and the squared norm."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            dims = pdf["vec"].map(len)
+            for d, part in pdf.groupby(dims):
+                x = np.array(part["vec"].tolist(), float).reshape(len(part), d)
+                near = points.get(d, np.zeros((0, d)))
+                far = np.stack([np.linalg.norm(x - p, axis=1) for p in near], 1) if len(near) else np.zeros((len(part), 0))
+                yield part.assign(dim=d, cluster=far.argmin(1) if len(near) else 0, far=list(far), norm=(x * x).sum(1))
+
+    return rows.mapInPandas(run, PLACED)
+
+
+def bounds(query_norm: float, query_far: np.ndarray, norms: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Upper bounds on the products of a query with rows of these squared norms, whose distances to the pivots are from low to high.
+
+    |q - x| is at least the difference of their distances to any pivot, the most of these over all pivots is the
+    bound, and a product is half of what the two squared norms exceed the squared distance by. The margins cover rounding.
+    """
+    gaps = np.maximum(np.maximum(low - query_far, query_far - high), 0)
+    gaps = np.nan_to_num(gaps, nan=0.0)
+    least = gaps.max(1) if gaps.shape[1] else np.zeros(len(norms))
+    total = query_norm + norms
+    return (total - (least * (1 - 1e-9)) ** 2) / 2 + 1e-9 * total + 1
+
+
+def search_block(queries: np.ndarray, query_ids: np.ndarray, query_far: np.ndarray, at_least: np.ndarray, rows: np.ndarray, ids: np.ndarray, far: np.ndarray, k: int, step: int = 256) -> tuple[list[tuple[int, int, int]], int]:
+    """((query_id, vec_id, score) of the best row of each of the k best ids for each query, how many products were taken).
 
-    |d(q, p) - d(x, p)| over all pivots p gives the greatest lower bound on d(q, x), and with the norms an upper bound on the
-    product. Rows are evaluated in order of that bound until the next bound is below the k-th score found.
+    Rows are evaluated in order of their bound, until the next bound is below the k-th score found here, or below what the
+    query's k-th score is known to reach.
     """
     size = max(float(np.abs(queries).max(initial=0)), float(np.abs(rows).max(initial=0)))
-    exact = size * size * max(1, rows.shape[1]) < 2**52
-    kind = float if exact else object
+    kind = float if size * size * max(1, rows.shape[1]) < 2**52 else object  # products of doubles are exact, or Python's whole numbers are
+    wide = rows.astype(float)
+    norms = (wide * wide).sum(1)
+    query_norms = (queries.astype(float) ** 2).sum(1)
     queries, rows = queries.astype(kind), rows.astype(kind)
-    norms, query_norms = (rows * rows).sum(1), (queries * queries).sum(1)
-    out = []
+    out, taken = [], 0
     for q, query_id in enumerate(query_ids):
-        if exact:
-            least = np.zeros(len(rows))
-            for p in range(far.shape[1]):
-                np.maximum(least, np.abs(far[:, p] - query_far[q, p]), out=least)
-            least = np.maximum(least * (1 - 1e-9) - 1e-6, 0)
-            bound = (query_norms[q] + norms - least * least) / 2 + 1e-3
-            order = np.argsort(-bound, kind="stable")
-        else:
-            bound, order = np.full(len(rows), np.inf), np.arange(len(rows))
+        bound = bounds(query_norms[q], query_far[q], norms, far, far)
+        order = np.argsort(-bound, kind="stable")
+        order = order[: int(np.searchsorted(-bound[order], -at_least[q], "right"))]
         best_s, best_i, at = np.zeros(0, kind), np.zeros(0, np.int64), 0
         while at < len(order) and (len(best_s) < k or bound[order[at]] >= best_s[-1]):
             part = order[at : at + step]
             part = part[ids[part] != query_id]
+            taken += len(part)
             best_s = np.concatenate([best_s, rows[part] @ queries[q]])
             best_i = np.concatenate([best_i, ids[part]])
-            keep = np.lexsort((best_i, -best_s))[:k]
+            keep = np.lexsort((best_i, -best_s))
+            _, first = np.unique(best_i[keep], return_index=True)  # of each id its best row
+            keep = keep[np.sort(first)][:k]
             best_s, best_i, at = best_s[keep], best_i[keep], at + step
-        out += [(int(query_id), int(i), max(-(2**63), min(2**63 - 1, int(s)))) for s, i in zip(best_s, best_i, strict=True)]
-    return out
+        out += [(int(query_id), int(i), int(s)) for s, i in zip(best_s, best_i, strict=True)]
+    return out, taken
+
+
+def _searched(groups: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """FOUND of the queries and rows of each group; asked queries carry in least what their k-th score reaches."""
+
+    def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        asks = group["role"].to_numpy(int) == 1
+        d = int(key[0])
+        vectors = np.array(group["vec"].tolist(), np.int64).reshape(len(group), d)
+        far, ids = np.stack(group["far"].tolist()) if len(group) else np.zeros((0, 0)), group["vec_id"].to_numpy(np.int64)
+        if not asks.any() or asks.all():
+            found = []
+        else:
+            found, _ = search_block(vectors[asks], ids[asks], far[asks], group["least"].to_numpy(float)[asks], vectors[~asks], ids[~asks], far[~asks], k)
+        # The key orders scores of any size; as a long, a score is held at the ends.
+        rows = [(q, i, (s + (1 << 255)).to_bytes(32, "big"), max(-LONG, min(LONG - 1, s))) for q, i, s in found]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "key", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
+
+    return groups.groupBy(*keys).applyInPandas(search, FOUND)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """FOUND with the rank of each id's best score for each query, up to k."""
+    best = found.groupBy("query_id", "vec_id").agg(F.max("key").alias("key"), F.max("score").alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("key"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _summaries(placed: DataFrame, most: int) -> pd.DataFrame:
+    """One row for each cluster: rows, queries, largest norm, and the range of distances to each pivot. At most as many as there are pivots."""
+    ranges = [f(F.get("far", F.lit(p))).alias(f"{n}{p}") for p in range(most) for n, f in (("low", F.min), ("high", F.max))]
+    return placed.groupBy("dim", "cluster").agg(F.count("*").alias("n"), F.count_if("asks").alias("q"), F.max("norm").alias("norm"), *ranges).toPandas()
+
+
+def targets(queries: DataFrame, summary: pd.DataFrame, most: int) -> DataFrame:
+    """queries (PLACED, least) once for each cluster of their dimension whose bound reaches least."""
+    by = {d: part for d, part in summary.groupby("dim")}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            reached = []
+            for d, norm, far, least in zip(pdf["dim"], pdf["norm"], pdf["far"], pdf["least"], strict=True):
+                s, n = by[d], len(far)
+                low, high = (s[[f"{x}{p}" for p in range(n)]].to_numpy(float) for x in ("low", "high"))
+                reached.append(s["cluster"].to_numpy()[bounds(norm, far, s["norm"].to_numpy(), low, high) >= least])
+            yield pdf.assign(target=reached).explode("target").dropna(subset="target").astype({"target": "int32"})
+
+    return queries.mapInPandas(run, f"{PLACED}, least double, target int")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, pivots: int = 24, sample: int = 1024, row_block: int = 8192, query_block: int = 1024) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for each query among all rows but those of its own id.
 
-    Queries and rows meet in blocks: each pair of a query block and a row block is one group of bounded size. Only
-    the pivots (bounded by the parameter) go by way of the driver.
+    Rows are placed with their nearest pivot. Each query first searches one block of its own cluster: its k-th score there
+    is a limit that all others must reach. Then it goes only to the clusters whose bound reaches it, whose rows and
+    queries meet in blocks of bounded size. Only the pivots and a summary of each cluster go by way of the driver.
 
     Rows with a null id, a null vector, or a null or non-finite component take no part. Vectors meet only those of
     their own length; empty vectors score 0. Exact repetitions of a row count once; an id with several vectors keeps
     its best score. Ties go to the smaller vec_id. Fewer rows than k: all. An empty table gives no rows. Scores
-    beyond a long are held at its ends. Other columns are ignored.
+    beyond a long are ranked as they are, and shown held at its ends. Other columns are ignored.
     """
-    rows = whole_numbers(vectors).withColumn("asks", F.coalesce(is_query, F.lit(False)))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).first()
-    row_blocks, query_blocks = -(-max(1, counts["n"]) // row_block), -(-max(1, counts["q"]) // query_block)
-    points = choose_pivots(rows.select("vec_id", "vec"), pivots, sample)
-
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = rows.where("asks").select("vec_id", "vec", "asks", dealt(query_blocks).alias("qb"), every(row_blocks).alias("rb"))
-    held = rows.select("vec_id", "vec", F.lit(False).alias("asks"), every(query_blocks).alias("qb"), dealt(row_blocks).alias("rb"))
-    both = asked.unionByName(held).withColumn("dim", F.size("vec"))
-
-    def search(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        asks = group["asks"].to_numpy(bool)
-        if not asks.any():
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        d = int(key[0])
-        all_vectors = np.array(group["vec"].tolist(), np.int64).reshape(len(group), d)
-        near = points.get(d, np.zeros((0, d)))
-        far = np.stack([np.linalg.norm(all_vectors - p, axis=1) for p in near], 1) if len(near) else np.zeros((len(group), 0))
-        ids = group["vec_id"].to_numpy(np.int64)
-        found = search_block(all_vectors[asks], ids[asks], all_vectors[~asks], ids[~asks], far[asks], far[~asks], k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"], dtype="int64")
-
-    found = both.groupBy("dim", "qb", "rb").applyInPandas(search, "query_id long, vec_id long, score long")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with Tables(vectors.sparkSession) as tables:
+        rows = whole_numbers(vectors).withColumn("asks", F.coalesce(is_query, F.lit(False)))
+        points = choose_pivots(rows.select("vec_id", "vec"), pivots, sample)
+        placed = tables.write(place(rows, points))
+        most = max((len(p) for p in points.values()), default=0)
+        summary = _summaries(placed, most)
+        size = {(r.dim, r.cluster): -(-r.n // row_block) for r in summary.itertuples()}
+
+        def blocks(table: dict, cluster: str) -> Column:
+            """The number of blocks of each row's cluster, out of a small table."""
+            pairs = [F.lit(x) for (d, c), n in table.items() for x in (f"{d}:{c}", n)]
+            return F.coalesce(F.create_map(*pairs)[F.concat_ws(":", "dim", cluster)], F.lit(1)) if pairs else F.lit(1)
+
+        own = F.xxhash64("vec_id", "vec")
+        columns = ["dim", "cluster", "rb", "qb", "vec_id", "vec", "far", "role", "least"]
+        dealt = placed.withColumn("n_", blocks(size, "cluster")).withColumn("rb", F.pmod(own, "n_").cast("int"))
+        none = F.lit(float("-inf"))
+        held = dealt.withColumns({"role": F.lit(0), "least": none, "qb": F.lit(0)}).select(columns)
+        first = held.unionByName(dealt.where("asks").withColumns({"role": F.lit(1), "least": none, "qb": F.lit(0)}).select(columns))
+        seeds = _best(_searched(first, ["dim", "cluster", "rb"], k), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).where(F.col("n") == k)
+        asked = placed.where("asks").join(seeds.select(F.col("query_id").alias("vec_id"), "least"), "vec_id", "left").withColumn("least", F.coalesce("least", none))
+        aimed = tables.write(targets(asked.select(*[x.split()[0] for x in PLACED.split(", ")], "least"), summary, most))
+        queries = {(r["dim"], r["target"]): -(-r["n"] // query_block) for r in aimed.groupBy("dim", "target").agg(F.count("*").alias("n")).collect()}
+
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+        asks = aimed.drop("cluster").withColumnRenamed("target", "cluster").withColumn("n_", blocks(size, "cluster")).withColumn("m_", blocks(queries, "cluster"))
+        asks = asks.withColumns({"qb": F.pmod(own, "m_").cast("int"), "role": F.lit(1)}).withColumn("rb", every("n_")).select(columns)
+        rows = dealt.withColumn("m_", blocks(queries, "cluster")).withColumns({"role": F.lit(0), "least": none}).withColumn("qb", every("m_")).select(columns)
+        found = _searched(rows.unionByName(asks), ["dim", "cluster", "rb", "qb"], k)
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_digest(vectors: DataFrame) -> DataFrame:

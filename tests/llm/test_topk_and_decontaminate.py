@@ -34,6 +34,43 @@ def test_top_k_against_brute_force(spark, seed):
     assert got == brute_top(rows, 10)
 
 
+def test_ids_with_several_vectors_among_the_candidates(spark):
+    rows = [(0, [1.0, 0.0])] + [(5, [9.0 - i, 0.0]) for i in range(3)] + [(6, [5.0, 1.0]), (7, [4.0, 0.0]), (8, [4.0, 7.0]), (9, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(tuple(x) for x in topk_search.top_k(df, F.col("vec_id") == 0, k=3).collect()) == [x for x in brute_top(rows, 3) if x[0] == 0]
+
+
+def test_scores_beyond_a_long_keep_their_order(spark):
+    big = 2.0**52
+    rows = [(0, [big, big])] + [(i, [big + 64 * ((i * 7) % 5), big - 64 * (i % 3)]) for i in range(1, 12)] + [(20, [-big, -big])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(x) for x in topk_search.top_k(df, F.col("vec_id") == 0, k=12).orderBy("rank").collect()]
+    expect = [x for x in brute_top(rows, 12) if x[0] == 0]
+    assert [x[:3] for x in got] == [x[:3] for x in expect]
+    assert all(a[3] == max(-(2**63), min(2**63 - 1, b[3])) for a, b in zip(got, expect, strict=True))
+
+
+def test_pivots_eliminate_rows_and_clusters(spark):
+    r = np.random.default_rng(3)
+    centres = r.normal(0, 1, (8, 12)) * 40
+    x = np.floor(1024 * (centres[r.integers(0, 8, 4000)] + r.normal(0, 0.3, (4000, 12)))).astype(np.int64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, vec array<long>").withColumn("asks", F.col("vec_id") % 100 == 0)
+    points = topk_search.choose_pivots(df.select("vec_id", "vec"), 24, 1024)
+    placed = topk_search.place(df, points).cache()
+    far = np.array([v["far"] for v in placed.orderBy("vec_id").select("far").collect()])
+    ids = np.arange(4000)
+    found, taken = topk_search.search_block(x[::100], ids[::100], far[::100], np.full(40, -np.inf), x, ids, far, 10)
+    assert taken < 0.5 * 40 * 4000
+    products = x[::100] @ x.T
+    for q in range(40):
+        order = sorted((-int(s), i) for i, s in enumerate(products[q]) if i != 100 * q)[:10]
+        assert [(-s, i) for s, i in order] == [(s, i) for a, i, s in found if a == 100 * q]
+    summary = topk_search._summaries(placed, 24)
+    least = F.lit(float(np.sort(products, axis=1)[:, -11].min()))
+    aimed = topk_search.targets(placed.where("asks").withColumn("least", least), summary, 24).count()
+    assert 40 <= aimed < 0.9 * 40 * len(summary)
+
+
 def test_top_k_of_nothing(spark):
     assert topk_search.search_digest(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
