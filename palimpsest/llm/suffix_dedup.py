@@ -154,11 +154,11 @@ def repeated_offsets(texts: DataFrame, members: DataFrame, length: int, bucket_r
     gram and the distance between them, so that no window is taken for its own copy).
     """
     buckets = max(1, -(-members.count() // bucket_rows))
-    large = tables.write(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.lit(True).alias("large")))
-    marked = members.join(large, "key", "left").select("doc_id", "context", F.coalesce("large", F.lit(False)).alias("large"), (F.col("n") > 1).alias("again"))
-    pick = lambda c: F.collect_list(F.when(c, F.col("context")))
-    todo = marked.groupBy("doc_id").agg(pick(~F.col("large")).alias("small"), pick(F.col("large") & ~F.col("again")).alias("large"), pick(~F.col("large") & F.col("again")).alias("again"))
-    rows = texts.join(todo, "doc_id").select("doc_id", "packed", "small", "large", "again")
+    large = tables.write(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key"))
+    split = not large.isEmpty()
+    small = members.join(large, "key", "left_anti") if split else members
+    again = F.collect_list(F.when(F.col("n") > 1, F.col("context")))
+    rows = texts.join(small.groupBy("doc_id").agg(F.collect_list("context").alias("small"), again.alias("again")), "doc_id").select("doc_id", "packed", "small", "again")
 
     def write_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -175,7 +175,7 @@ def repeated_offsets(texts: DataFrame, members: DataFrame, length: int, bucket_r
             for first, end, data, off in K.text_pieces(unpack_texts(b.column(1))):
                 a = anchors(data, off, length)
                 wanted = np.flatnonzero(K.in_sets(a.row, a.contexts, *_own(b, 2, first, end)))
-                again = K.in_sets(a.row, a.contexts, *_own(b, 4, first, end))
+                again = K.in_sets(a.row, a.contexts, *_own(b, 3, first, end))
                 _, once = np.unique(np.stack([a.row[wanted].astype(U), a.contexts[wanted]]), axis=1, return_index=True)
                 wanted = wanted[np.sort(once)]  # surroundings that a text holds twice are one member
                 raw = data.tobytes()
@@ -185,16 +185,16 @@ def repeated_offsets(texts: DataFrame, members: DataFrame, length: int, bucket_r
                     bucket = (int(spread[i]) * buckets) >> 64
                     held.setdefault(bucket, []).append((raw[at : a.high[i]], raw[a.low[i] : at], int(a.contexts[i : i + 1].view(np.int64)[0]), bool(again[i])))
                 total += len(wanted)
-                if total > 50_000:
+                if total > 20_000:
                     yield from flush()
                     total = 0
         yield from flush()
 
-    merged = rows.where("size(small) > 0").mapInArrow(write_runs, RUN).groupBy("bucket").applyInArrow(_merge_runs(length), "context long, whole boolean, offsets array<int>")
+    merged = rows.mapInArrow(write_runs, RUN).groupBy("bucket").applyInArrow(_merge_runs(length), "context long, whole boolean, offsets array<int>")
 
     def hash_windows(ids, first, data, off, b) -> tuple:
         a = anchors(data, off, length)
-        wanted = np.flatnonzero(K.in_sets(a.row, a.contexts, *_own(b, 3, first, first + len(ids))))
+        wanted = np.flatnonzero(K.in_sets(a.row, a.contexts, *_own(b, 2, first, first + len(ids))))
         reach = length - length // 2
         back = np.tile(np.arange(reach + 1), len(wanted))
         of = np.repeat(wanted, reach + 1)
@@ -205,20 +205,19 @@ def repeated_offsets(texts: DataFrame, members: DataFrame, length: int, bucket_r
         return signed(hashes), signed(a.contexts[of]), back.astype(np.int32)
 
     out = merged
-    if not large.isEmpty():
+    if split:
         # All windows of surroundings that occur more than once do; those of the others are looked for among them too.
-        windows = _map(rows.where("size(large) > 0"), hash_windows, "window long, context long, back int").distinct()
-        several = members.join(large, "key").where("n > 1")
-        theirs = texts.join(several.groupBy("doc_id").agg(F.collect_list("context").alias("large")), "doc_id").select("doc_id", "packed", F.array().cast("array<long>").alias("small"), "large")
-        held = tables.write(windows.unionByName(_map(theirs, hash_windows, "window long, context long, back int").distinct()))
-        again = tables.write(held.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
-        split = held.join(again, "window").groupBy("context").agg(F.collect_set("back").alias("offsets"))
-        split = split.join(several.select("context"), "context", "left_anti").select("context", F.lit(False).alias("whole"), "offsets")
-        out = merged.unionByName(split).unionByName(several.select("context", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("offsets")))
+        held = members.join(large, "key")
+        theirs = texts.join(held.groupBy("doc_id").agg(F.collect_list("context").alias("large")), "doc_id").select("doc_id", "packed", "large")
+        windows = tables.write(_map(theirs, hash_windows, "window long, context long, back int").distinct())
+        twice = tables.write(windows.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"))
+        several = held.where("n > 1").select("context")
+        part = windows.join(twice, "window").groupBy("context").agg(F.collect_set("back").alias("offsets")).join(several, "context", "left_anti").select("context", F.lit(False).alias("whole"), "offsets")
+        out = merged.unionByName(part).unionByName(several.select("context", F.lit(True).alias("whole"), F.array().cast("array<int>").alias("offsets")))
     return tables.write(out)
 
 
-def dedup_suffixes(docs: DataFrame, length: int = 200, bucket_rows: int = 20_000) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = 200, bucket_rows: int = 8_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept, kept_sha256 of every row.
 
     A byte goes if a string of so many bytes that covers it also starts anywhere else, in this text or another; strings
