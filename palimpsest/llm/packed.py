@@ -11,17 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.checkpoints import Tables
+from palimpsest.llm.sampling import bounded_sample
+
+
+def pack_column(text: pa.Array) -> pa.Array:
+    packer = zstandard.ZstdCompressor(level=1)
+    return pa.array([packer.compress(x.as_buffer()) if x.is_valid else None for x in text.cast(pa.binary())], pa.binary())
 
 
 def pack_texts(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, packed): the text's 64-bit hash, and the text compressed, so that a shuffle moves fewer bytes. Null stays null."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            text = b.column(2).cast(pa.binary())
-            out = [packer.compress(x.as_buffer()) if x.is_valid else None for x in text]
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.binary())], ["doc_id", "tag", "packed"])
+            yield pa.record_batch([b.column(0), b.column(1), pack_column(b.column(2))], ["doc_id", "tag", "packed"])
 
     return _tagged(docs).mapInArrow(pack, "doc_id long, tag long, packed binary")
 
@@ -135,6 +138,19 @@ def frequent_keys(texts: DataFrame, keys_of: Callable, most: int, lower: bool =
     return keys.view(np.uint64), counts
 
 
+def frequent_in_sample(docs: DataFrame, keys_of: Callable, most: int, rows: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """frequent_keys() of about so many distinct texts, chosen by hash, and about how many of all rows have each.
+
+    It tells which keys are so frequent that their rows should be dealt in parts. No result depends on it.
+    """
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("binary").alias("text"))
+    n = texts.count()
+    sample = bounded_sample(texts, "tag", rows)
+    pack = lambda batches: (pa.record_batch([pack_column(b.column(0))], ["packed"]) for b in batches)
+    keys, counts = frequent_keys(sample.select("text").mapInArrow(pack, "packed binary"), keys_of, most)
+    return keys, (counts * max(1.0, n / rows)).astype(np.int64)
+
+
 def part_counts(frequent: tuple[np.ndarray, np.ndarray], rows: int) -> Callable[[np.ndarray], np.ndarray]:
     """A function from keys to the number of parts, of about so many rows, that each is dealt in: 0 for keys that are not frequent."""
     order = np.argsort(frequent[0])

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.llm import kernels as K
 from palimpsest.llm.checkpoints import Tables
-from palimpsest.llm.packed import frequent_keys, is_copy, later_copies, longs, map_packed, originals, part_counts, small_batches, text_groups, unpack_texts, with_and_without_id
+from palimpsest.llm.packed import frequent_in_sample, is_copy, later_copies, longs, map_packed, originals, part_counts, small_batches, text_groups, unpack_texts, with_and_without_id
 
 
 def level_lengths(window: int, first: int = 6) -> list[int]:
@@ -47,11 +47,11 @@ def _first_keys(w: K.Words, lengths: list[int]) -> tuple[np.ndarray, np.ndarray]
     return K.distinct_pairs(w.row[at], grams[at])
 
 
-def repeated_windows(texts: DataFrame, window: int, tables: Tables, most_frequent: int = 65_536, part_rows: int = 20_000) -> DataFrame:
+def repeated_windows(texts: DataFrame, docs: DataFrame, window: int, most_frequent: int = 65_536, part_rows: int = 20_000) -> DataFrame:
     """(doc_id, keys): per document the hashes of its windows that also start in a document with a smaller id.
 
-    Windows that very many documents share are found first. That they repeat is known, so their rows are dealt in parts, and only
-    the smallest id of each is aggregated. However frequent a window is, no task gets all its rows.
+    Windows that very many documents share are found first, in a sample of docs: their rows are dealt in parts and stay
+    candidates, and of each only the smallest id is aggregated. However frequent a window is, no task gets all its rows.
     """
     lengths = level_lengths(window)
 
@@ -62,7 +62,7 @@ def repeated_windows(texts: DataFrame, window: int, tables: Tables, most_frequen
             out.append(K.distinct_pairs(w.row[: len(ok)][ok], K.ngrams(w.hashes, length)[ok])[1])
         return np.concatenate(out)
 
-    parts = part_counts(frequent_keys(texts, keys_of_all_levels, most_frequent), part_rows)
+    parts = part_counts(frequent_in_sample(docs, keys_of_all_levels, most_frequent), part_rows)
 
     def dealt(ids: np.ndarray, row: np.ndarray, keys: np.ndarray) -> tuple:
         return longs(keys), ids[row].astype(np.int64), parts(keys)
@@ -84,9 +84,9 @@ def repeated_windows(texts: DataFrame, window: int, tables: Tables, most_frequen
         repeated = rows.select("key", "doc_id", "parts", F.count("*").over(of_part).alias("n")).where("n > 1 OR parts > 0")
         known = repeated.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
         rows = map_packed(texts.join(known, "doc_id"), extend(lengths[k - 1], length, k == 1), schema)
-    found = tables.write(rows.select("key", "doc_id", "parts", F.min("doc_id").over(of_part).alias("least")).where("doc_id > least OR parts > 0"))
+    found = rows.select("key", "doc_id", "parts", F.min("doc_id").over(of_part).alias("least")).where("doc_id > least OR parts > 0")
     frequent = found.where("parts > 0")
-    least = tables.write(frequent.groupBy("key").agg(F.min("least").alias("first")))  # at most most_frequent rows
+    least = frequent.groupBy("key").agg(F.min("least").alias("first"))  # at most most_frequent rows
     later = found.where("parts = 0").select("key", "doc_id").unionByName(frequent.join(least, "key").where("doc_id > first").select("key", "doc_id"))
     return later.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
@@ -107,7 +107,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13) -> DataFrame:
     packed, without_id = with_and_without_id(docs)
     with Tables(docs.sparkSession) as tables:
         copies = later_copies(text_groups(docs, tables))
-        flagged = repeated_windows(originals(packed, copies), window, tables)
+        flagged = repeated_windows(originals(packed, copies), docs, window)
 
     def finish(batches: Iterator[pa.RecordBatch], packed: bool = True) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
