@@ -86,8 +86,9 @@ def repeated_windows(texts: DataFrame, docs: DataFrame, window: int, most_freque
         rows = map_packed(texts.join(known, "doc_id"), extend(lengths[k - 1], length, k == 1), schema)
     found = rows.select("key", "doc_id", "parts", F.min("doc_id").over(of_part).alias("least")).where("doc_id > least OR parts > 0")
     frequent = found.where("parts > 0")
-    least = frequent.groupBy("key").agg(F.min("least").alias("first"))  # at most most_frequent rows
-    later = found.where("parts = 0").select("key", "doc_id").unionByName(frequent.join(least, "key").where("doc_id > first").select("key", "doc_id"))
+    least = rows.where("parts > 0").groupBy("key").agg(F.min("doc_id").alias("first"))  # at most most_frequent rows, aggregated before they are sent
+    # That a part's least is asked for too, which is always so, keeps both branches on one exchange.
+    later = found.where("parts = 0").select("key", "doc_id").unionByName(frequent.join(least, "key").where("doc_id > first AND least >= first").select("key", "doc_id"))
     return later.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
