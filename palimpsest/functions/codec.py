@@ -56,6 +56,42 @@ def varint_from_hex(h: Column, groups: int = 5) -> Column:
     return F.when((out >= 0) & (out <= limit), out)
 
 
+def varint64_from_hex(h: Column) -> Column:
+    """The number, up to 2^64 - 1, of a varint of at most ten bytes at the start of the bytes; null if it is cut short or has too many bits."""
+    byte = lambda i: F.conv(F.substring(h, 2 * i + 1, 2), 16, 10).cast("decimal(38,0)")
+    value, out, ends = F.lit(0).cast("decimal(38,0)"), F.lit(None).cast("decimal(38,0)"), []
+    for i in range(10):
+        value = (value + (byte(i) % 128) * F.lit(str(1 << 7 * i)).cast("decimal(20,0)")).cast("decimal(38,0)")
+        ends.append((F.when(F.length(h) >= 2 * i + 2, byte(i) < 128).otherwise(False), value))
+    for done, v in reversed(ends):
+        out = F.when(done, v).otherwise(out)
+    return F.when(out <= F.lit(str((1 << 64) - 1)).cast("decimal(20,0)"), out.cast("decimal(20,0)"))
+
+
+def let(value: Column, f) -> Column:
+    """f(value), with the value written once in the expression, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def slice_from_hex(h: Column) -> Column:
+    """A struct of the slice's bytes and the rest after it, in hexadecimal: null if its length or its bytes are cut short."""
+
+    def cut(x: Column, n: Column, head: Column) -> Column:
+        whole = F.length(x) >= head + 2 * n
+        return F.struct(F.when(whole, x.substr((head + 1).cast("int"), (2 * n).cast("int"))).alias("bytes"), F.when(whole, x.substr((head + 2 * n + 1).cast("int"), F.length(x))).alias("rest"))
+
+    return let(h, lambda x: let(varint_from_hex(x), lambda n: let(2 * varint_length(n), lambda head: cut(x, n, head))))
+
+
+def internal_key_parts(h: Column) -> tuple[Column, Column, Column]:
+    """(user key, seq, op) of an internal key in hexadecimal: null if it is shorter than its trailer or has no such op."""
+    n = F.length(h)
+    op = F.conv(h.substr(n - 15, F.lit(2)), 16, 10).cast("int")
+    ok = (n >= 16) & op.isin(0, 1)
+    key = F.decode(F.unhex(h.substr(F.lit(1), n - 16)), "UTF-8")
+    return F.when(ok, key), F.when(ok, fixed_from_hex(h.substr(n - 13, F.lit(14)), 7).cast("long")), F.when(ok, op)
+
+
 def slice_hex(s: Column) -> Column:
     """A string with its length before it, as a varint."""
     return F.concat(varint_hex(F.octet_length(s)), F.hex(s.cast("binary")))

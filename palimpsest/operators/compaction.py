@@ -7,16 +7,20 @@ from pyspark.sql import functions as F
 
 from palimpsest.operators.versions import newest
 
-PLAN = ("file_id", "position", "output_level")
-MOST = 2**63 - 1
+MOST = 2**64 - 1
 
 
 def level_capacity(base: int, level: int) -> int:
+    """Ten times that of the level above, up to the greatest unsigned number of 64 bits."""
     return min(base * 10 ** (level - 1), MOST)
 
 
 def base_size(memtable: int, trigger: int) -> int:
-    return memtable * trigger * 10
+    """The capacity of level 1; an error beyond 64 bits."""
+    size = memtable * trigger * 10
+    if size > MOST:
+        raise OverflowError("the base size exceeds 64 bits")
+    return size
 
 
 def tiered_plan(files: DataFrame, trigger: int) -> DataFrame:
@@ -43,8 +47,9 @@ def leveled_l0_plan(files: DataFrame, trigger: int) -> DataFrame:
 def leveled_overflow_plan(files: DataFrame, trigger: int, base: int) -> DataFrame:
     """While level 0 is below the trigger: of the shallowest level beyond its capacity the oldest run, and what it overlaps one level down."""
     sizes = files.where("level > 0").groupBy("level").agg(F.sum("data_bytes").alias("bytes"))
-    capacity = F.least(F.lit(float(base)) * F.pow(F.lit(10.0), F.col("level") - 1), F.lit(float(MOST)))
-    full = sizes.where(F.col("bytes") > capacity).agg(F.min("level").alias("full"))
+    # beyond 20 levels every capacity is at its ceiling
+    capacity = F.element_at(F.array(*(F.lit(str(level_capacity(base, k))).cast("decimal(20,0)") for k in range(1, 22))), F.least("level", F.lit(21)).cast("int"))
+    full = sizes.where(F.col("bytes").cast("decimal(38,0)") > capacity).agg(F.min("level").alias("full"))
     calm = files.agg(F.count_if(F.expr("level = 0")).alias("n")).where(F.col("n") < trigger)
     tagged = files.join(F.broadcast(full)).join(F.broadcast(calm), how="left_semi").where("full IS NOT NULL")
     oldest = tagged.where("level = full").agg(F.min("file_id").alias("file_id"))
@@ -78,3 +83,13 @@ def recovered(frames: DataFrame, durable_epoch: int) -> DataFrame:
     live = frames.where(F.col("epoch") > durable_epoch)
     first_bad = live.where("NOT good").groupBy("epoch").agg(F.min("pos").alias("bad_pos"))
     return live.join(first_bad, "epoch", "left").where("bad_pos IS NULL OR pos < bad_pos").drop("bad_pos")
+
+
+def to_fixpoint(runs: DataFrame, plan_of, store, new_file_id: int, most_rounds: int = 1000) -> DataFrame:
+    """Runs after as many plans as it takes until plan_of(runs) is empty; store() writes each round's runs and returns them as read."""
+    for k in range(most_rounds):
+        plan = store(plan_of(runs))
+        if plan.isEmpty():
+            return runs
+        runs = store(after(runs, plan, new_file_id + k))
+    raise RuntimeError("compaction did not settle")

@@ -73,7 +73,8 @@ def range_pruning(keys: DataFrame, files: DataFrame) -> DataFrame:
     """For each asked key, how many runs there are and how many its range cannot rule out. The manifest is metadata: rows for files, not for data."""
     files = files.select("file_id", "smallest_key", "largest_key")
     total = files.agg(F.count("*").alias("runs"))
-    hit = (F.col("user_key") >= F.col("smallest_key")) & (F.col("user_key") <= F.col("largest_key"))
+    # a bound that is not known rules nothing out
+    hit = F.coalesce(F.col("user_key") >= F.col("smallest_key"), F.lit(True)) & F.coalesce(F.col("user_key") <= F.col("largest_key"), F.lit(True))
     asked = keys.select("user_key").distinct()
     return asked.join(files, hit, "left").groupBy("user_key").agg(F.count("file_id").alias("candidates")).join(F.broadcast(total))
 
@@ -108,3 +109,15 @@ def bloom_prune(keys: DataFrame, runs: DataFrame, bits_per_key: int = 10, hashes
     passed = probes.join(set_bits, ["file_id", "bit"], "left").groupBy("user_key", "file_id").agg((F.count("*") == F.count("set")).alias("maybe"))
     held = runs.select("user_key", "file_id").distinct().withColumn("present", F.lit(True))
     return passed.join(held, ["user_key", "file_id"], "left").select("user_key", "file_id", "maybe", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def block_of_key(keys: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(user_key, file_id, block_no): for each asked key and run, the first block whose last key is not below it; none if the key is beyond the run.
+
+    Keys and block bounds are sorted together in each run, and the next bound is looked up by a window: no pair of a key and a block is made.
+    """
+    asked = keys.select("user_key").distinct().join(F.broadcast(blocks.select("file_id").distinct()))
+    both = asked.select("file_id", "user_key", F.lit(None).cast("long").alias("block_no")).unionByName(blocks.select("file_id", F.col("last_key").alias("user_key"), F.col("block_no").cast("long")))
+    following = Window.partitionBy("file_id").orderBy("user_key", F.col("block_no").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
+    found = both.withColumn("next_", F.min("block_no").over(following)).where("block_no IS NULL")
+    return found.where("next_ IS NOT NULL").select("user_key", "file_id", F.col("next_").alias("block_no"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palimpsest.functions import codec
-from palimpsest.operators import compaction, metrics, runs, versions, workload
+from palimpsest.operators import compaction, frames, metrics, runs, versions, workload
 from palimpsest.plans import oplog
 from palimpsest.streaming import changelog
 
@@ -56,6 +57,8 @@ LEVELS = RUNS + """,
 leveled AS (SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 2 WHEN file_id % 3 = 0 THEN 1 ELSE 0 END AS level, low.a AS smallest_key, high.a AS largest_key, data_bytes FROM files)
 """
 
+KEYS = "asked AS (SELECT 'u' || lpad(CAST(i AS VARCHAR), 6, '0') AS user_key FROM range(200) t(i))"
+
 
 def query(sql: str | None = None):
     def add(f):
@@ -81,9 +84,6 @@ def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.withColumn("level", level)
 
 
-KEYS = "asked AS (SELECT 'u' || lpad(CAST(i AS VARCHAR), 6, '0') AS user_key FROM range(200) t(i))"
-
-
 @query(OPLOG + "SELECT user_key, seq, op, value FROM newest")
 def newest_versions(spark, sf_dir):
     return versions.newest(oplog.from_events(spark, sf_dir))
@@ -94,8 +94,6 @@ def visible_scan(spark, sf_dir):
     # positions come from per-partition counts, so that the ordered scan needs no single task
     ordered = versions.scan(oplog.from_events(spark, sf_dir)).withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id() % (1 << 33))
     counts = ordered.groupBy("part_").agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
     before = counts.select("part_", (F.sum("n").over(Window.orderBy("part_")) - F.col("n")).alias("before_"))
     return ordered.join(F.broadcast(before), "part_").select("user_key", "value", (F.col("before_") + F.col("nth_") + 1).alias("pos"))
 
@@ -149,14 +147,24 @@ def run_manifest(spark, sf_dir):
     return runs.manifest(_runs(spark, sf_dir))
 
 
-@query(RUNS + "SELECT CAST(0 AS BIGINT) AS bad_ids, CAST(count(*) FILTER (data_bytes <= 0) AS BIGINT) AS bad_sizes, CAST(count(*) FILTER (low > high) AS BIGINT) AS bad_bounds, CAST(0 AS BIGINT) AS bad_seqs, CAST(count(*) - count(DISTINCT file_id) AS BIGINT) AS repeated_ids FROM files")
+# The audits are asked about damaged copies, so that there is something to find.
+DAMAGED = ", damaged AS (SELECT CASE WHEN file_id % 5 = 0 THEN file_id - 1 ELSE file_id END AS file_id, CASE WHEN file_id % 3 = 0 THEN 0 ELSE data_bytes END AS data_bytes, CASE WHEN file_id % 4 = 0 THEN high ELSE low END AS low, CASE WHEN file_id % 4 = 0 THEN low ELSE high END AS high FROM files)"
+
+
+@query(RUNS + DAMAGED + "SELECT count(*) FILTER (file_id < 1 OR file_id >= 40) AS bad_ids, count(*) FILTER (data_bytes <= 0) AS bad_sizes, count(*) FILTER (low.a > high.a OR low.a = high.a AND -low.b < -high.b) AS bad_bounds, count(*) FILTER (greatest(-low.b, -high.b) > 5000) AS bad_seqs, (SELECT count(*) FROM (SELECT file_id FROM damaged GROUP BY file_id HAVING count(*) > 1)) AS repeated_ids FROM damaged")
 def manifest_audit(spark, sf_dir):
-    return runs.manifest_violations(runs.manifest(_runs(spark, sf_dir)), 2**40, 2**40)
+    files, of = runs.manifest(_runs(spark, sf_dir)), F.col("file_id")
+    swap = lambda a, b: F.when(of % 4 == 0, F.col(b)).otherwise(F.col(a))
+    bounds = {f"{x}_{c}": swap(f"{x}_{c}", f"{y}_{c}") for c in ("key", "seq", "op") for x, y in (("smallest", "largest"), ("largest", "smallest"))}
+    damaged = files.withColumns(bounds | {"data_bytes": F.when(of % 3 == 0, 0).otherwise(F.col("data_bytes"))}).withColumn("file_id", F.when(of % 5 == 0, of - 1).otherwise(of))
+    return runs.manifest_violations(damaged, 40, 5000)
 
 
-@query(RUNS + "SELECT CAST(0 AS BIGINT) AS violations FROM (SELECT 1)")
+@query(RUNS + ", placed AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY user_key, CASE WHEN seq % 9 = 0 THEN seq ELSE -seq END, op DESC) AS pos FROM runs) SELECT count(*) AS violations FROM (SELECT user_key AS k, -seq AS s, -op AS o, lag(user_key) OVER w AS bk, lag(-seq) OVER w AS bs, lag(-op) OVER w AS bo FROM placed WINDOW w AS (PARTITION BY file_id ORDER BY pos)) WHERE bk > k OR bk = k AND (bs > s OR bs = s AND bo >= o)")
 def run_order_audit(spark, sf_dir):
-    return versions.order_violations(runs.sorted_position(_runs(spark, sf_dir)))
+    seq = F.col("seq")
+    order = Window.partitionBy("file_id").orderBy("user_key", F.when(seq % 9 == 0, seq).otherwise(-seq), F.desc("op"))
+    return versions.order_violations(_runs(spark, sf_dir).withColumn("pos", F.row_number().over(order).cast("long")))
 
 
 @query(ENTRIES + "SELECT file_id, block_no, CAST(sum(size) OVER (PARTITION BY file_id ORDER BY block_no) - size AS BIGINT) AS \"offset\", size, entries, last.a AS last_key, -last.b AS last_seq, -last.c AS last_op FROM blocks")
@@ -164,6 +172,11 @@ def block_index(spark, sf_dir):
     return runs.block_index(_runs(spark, sf_dir), BLOCK)
 
 
+@query(ENTRIES + f", {KEYS} SELECT a.user_key, b.file_id, min(b.block_no) AS block_no FROM asked a JOIN blocks b ON b.last.a >= a.user_key GROUP BY a.user_key, b.file_id")
+def block_of_key(spark, sf_dir):
+    return runs.block_of_key(_keys(spark), runs.block_index(_runs(spark, sf_dir), BLOCK))
+
+
 @query(ENTRIES + f", per AS (SELECT file_id, count(*) AS blocks, CAST(sum(size) AS BIGINT) AS data_bytes, CAST(sum({VLEN.format('strlen(last.a) + 8')} + strlen(last.a) + 24) AS BIGINT) AS index_bytes FROM blocks GROUP BY file_id) SELECT file_id, blocks, p.data_bytes, index_bytes, CAST(ceil(greatest(64, distinct_keys * 10) / 8.0) AS BIGINT) + 12 AS filter_bytes, p.data_bytes + index_bytes + CAST(ceil(greatest(64, distinct_keys * 10) / 8.0) AS BIGINT) + 52 AS file_bytes FROM per p JOIN files USING (file_id)")
 def file_sizes(spark, sf_dir):
     return runs.file_sizes(_runs(spark, sf_dir), BLOCK, 10)
@@ -285,9 +298,20 @@ def op_mix(spark, sf_dir):
 
 @query()
 def crc32_frames(spark, sf_dir):
-    log = oplog.from_events(spark, sf_dir)
-    payload = F.concat(codec.fixed_hex(F.col("op"), 1), codec.fixed_hex(F.col("seq"), 8), codec.slice_hex(F.col("user_key")), codec.slice_hex(F.coalesce("value", F.lit(""))))
-    return log.select("seq", payload.alias("payload"), F.crc32(F.unhex(payload)).alias("crc"), F.concat(codec.fixed_hex(F.crc32(F.unhex(payload)), 4), codec.fixed_hex(F.length(payload) / 2, 4), payload).alias("frame"))
+    return frames.encode(oplog.from_events(spark, sf_dir)).select("seq", "payload", "crc", "frame")
+
+
+@query()
+def frame_decode(spark, sf_dir):
+    return frames.decode(_damaged_frames(spark, sf_dir).select("id", "frame"))
+
+
+def _damaged_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by number, of which some have a flipped bit, are cut short, or carry a byte too many."""
+    rows = frames.encode(oplog.from_events(spark, sf_dir)).select(F.col("seq").alias("id"), "frame")
+    late, h = F.col("id") % 1000 >= 700, F.col("frame")
+    flipped = F.concat(h.substr(F.lit(1), F.length(h) - 1), F.when(F.substring(h, -1, 1) == "0", "1").otherwise("0"))
+    return rows.withColumn("frame", F.when(late & (F.col("id") % 33 == 3), flipped).when(late & (F.col("id") % 33 == 14), h.substr(F.lit(1), F.length(h) - 2)).when(late & (F.col("id") % 33 == 25), F.concat(h, F.lit("00"))).otherwise(h))
 
 
 SEQ_BYTES = " || ".join(f"substr(printf('%014X', seq), {13 - 2 * i}, 2)" for i in range(7))
@@ -314,9 +338,9 @@ def best_hash_counts(spark, sf_dir):
     return spark.range(1, 61).select(F.col("id").alias("bits_per_key"), codec.best_hash_count(F.col("id")).alias("hashes"))
 
 
-@query("SELECT i AS level, CAST(least(CAST(5000 AS HUGEINT) * CAST(power(10, i - 1) AS HUGEINT), 9223372036854775807) AS DOUBLE) AS capacity FROM range(1, 15) t(i)")
+@query("SELECT i AS level, CAST(least(CAST('5000' || repeat('0', CAST(i - 1 AS INT)) AS HUGEINT), CAST(18446744073709551615 AS HUGEINT)) AS VARCHAR) AS capacity FROM range(1, 23) t(i)")
 def level_capacities(spark, sf_dir):
-    return spark.createDataFrame([(level, float(compaction.level_capacity(5000, level))) for level in range(1, 15)], "level long, capacity double")
+    return spark.createDataFrame([(level, str(compaction.level_capacity(5000, level))) for level in range(1, 23)], "level long, capacity string")
 
 
 FRAMES = OPLOG + ", frames AS (SELECT seq // 1000 AS epoch, seq % 1000 AS pos, seq, user_key, NOT (seq % 1000 >= 700 AND hash_ = 3) AS good FROM (SELECT *, seq % 11 AS hash_ FROM oplog))"
@@ -324,9 +348,8 @@ FRAMES = OPLOG + ", frames AS (SELECT seq // 1000 AS epoch, seq % 1000 AS pos, s
 
 @query(FRAMES + ", bad AS (SELECT epoch, min(pos) AS bad_pos FROM frames WHERE NOT good AND epoch > 1 GROUP BY epoch) SELECT f.epoch, f.pos, f.seq, f.user_key FROM frames f LEFT JOIN bad b USING (epoch) WHERE f.epoch > 1 AND (bad_pos IS NULL OR f.pos < bad_pos)")
 def recovery_prefix(spark, sf_dir):
-    log = oplog.from_events(spark, sf_dir)
-    frames = log.select(F.floor(F.col("seq") / 1000).alias("epoch"), (F.col("seq") % 1000).alias("pos"), "seq", "user_key", F.expr("NOT (seq % 1000 >= 700 AND seq % 11 = 3)").alias("good"))
-    return compaction.recovered(frames, 1).select("epoch", "pos", "seq", "user_key")
+    read = frames.decode(_damaged_frames(spark, sf_dir)).withColumns({"epoch": F.floor(F.col("id") / 1000), "pos": F.col("id") % 1000})
+    return compaction.recovered(read, 1).select("epoch", "pos", "seq", "user_key")
 
 
 @query(RUNS + ", listing AS (SELECT CAST(i AS VARCHAR) || '.sst' AS name, 'sst' AS kind, i AS id FROM range(1, 2000) t(i) UNION ALL SELECT CAST(i AS VARCHAR) || '.wal', 'wal', i FROM range(1, 21) t(i)) SELECT name, kind, id FROM listing WHERE kind = 'sst' AND id NOT IN (SELECT file_id FROM files) OR kind = 'wal' AND id <= 7")

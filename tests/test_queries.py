@@ -2,11 +2,17 @@
 
 import math
 import os
+import random
+import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from palimpsest.functions import codec
+from palimpsest.operators import compaction, frames, metrics, runs, segments
 from palimpsest.plans import registry
+from palimpsest.sources import results
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -37,6 +43,151 @@ def test_against_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[at.index(c)]) for c in columns) for r in told.fetchall()), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLE_SQL)))
-def test_without_sql(spark, name):
-    assert registry.QUERIES[name](spark, FOLDER).count() > 0
+def test_only_frames_have_no_sql():
+    assert set(registry.QUERIES) - set(registry.ORACLE_SQL) == {"crc32_frames", "frame_decode"}
+
+
+def number(data, at=0):
+    """(value, next place) of a varint."""
+    value = shift = 0
+    while True:
+        byte = data[at]
+        value |= (byte & 127) << shift
+        at, shift = at + 1, shift + 7
+        if byte < 128:
+            return value, at
+
+
+def frame_of(key, seq, op, value):
+    sized = lambda x: bytes([len(x)]) + x if len(x) < 128 else bytes([len(x) % 128 + 128, len(x) // 128]) + x
+    body = bytes([op]) + seq.to_bytes(8, "little") + sized(key) + sized(value or b"")
+    return zlib.crc32(body).to_bytes(4, "little") + len(body).to_bytes(4, "little") + body
+
+
+def test_frames_against_zlib(spark):
+    assert zlib.crc32(b"123456789") == 0xCBF43926
+    log = registry.oplog.from_events(spark, FOLDER)
+    by = {r["seq"]: r for r in log.collect()}
+    got = registry.QUERIES["crc32_frames"](spark, FOLDER).collect()
+    assert len(got) == len(by)
+    for r in got:
+        x = by[r["seq"]]
+        frame = frame_of(x["user_key"].encode(), x["seq"], x["op"], x["value"] and x["value"].encode())
+        assert bytes.fromhex(r["frame"]) == frame and r["crc"] == zlib.crc32(frame[8:]) and bytes.fromhex(r["payload"]) == frame[8:]
+    back = registry.QUERIES["frame_decode"](spark, FOLDER).collect()
+    assert len(back) == len(by) and 0 < sum(not r["good"] for r in back) < len(back)
+    for r in back:
+        damaged = r["id"] % 1000 >= 700 and r["id"] % 11 == 3
+        x = by[r["id"]]
+        assert r["good"] != damaged
+        assert tuple(r)[3:] == ((None,) * 4 if damaged else (x["user_key"], x["seq"], x["op"], x["value"]))
+
+
+def test_unsound_frames(spark):
+    good = frame_of(b"k", 7, 1, b"value")
+    resealed = lambda body: zlib.crc32(body).to_bytes(4, "little") + len(body).to_bytes(4, "little") + body
+    bad = [b"", good[:15], good[:-1], good + b"x", good[:8] + b"\x00" + good[9:], resealed(b"\x02" + good[9:]), resealed(good[8:] + b"x"), resealed(good[8:-2]), resealed(b"\x00" + good[9:]), resealed(b"")]
+    rows = [(i, x.hex().upper()) for i, x in enumerate([good, *bad])]
+    told = {r["id"]: r["good"] for r in frames.decode(spark.createDataFrame(rows, "id long, frame string")).collect()}
+    assert told == {0: True, **dict.fromkeys(range(1, len(bad) + 1), False)}
+
+
+def test_codecs_read_back(spark):
+    numbers = [0, 1, 127, 128, 2**32 - 1, 2**35, 2**56, 2**63, 2**64 - 1, 2**64]
+    coded = []
+    for n in numbers:
+        out, x = [], n
+        while True:
+            out.append(x % 128 + (128 if x >= 128 else 0))
+            x //= 128
+            if not x:
+                break
+        coded.append(bytes(out).hex().upper())
+        assert number(bytes(out)) == (n, len(out))
+    rows = [(h, n) for h, n in zip(coded, map(str, numbers), strict=True)] + [("80", None), ("FF" * 9, None), ("", None), ("FF" * 10 + "01", None)]
+    got = spark.createDataFrame(rows, "h string, n string").select("n", codec.varint64_from_hex(F.col("h")).cast("string").alias("v")).collect()
+    assert [r["v"] for r in got] == [r["n"] if r["n"] != str(2**64) else None for r in got]
+    keys = spark.createDataFrame([("été", 5, 1), ("", 2**56 - 1, 0)], "k string, seq long, op int").withColumn("h", codec.internal_key_hex(F.col("k"), F.col("seq"), F.col("op")))
+    assert all(tuple(r)[:3] == tuple(r)[3:] for r in keys.select("k", "seq", "op", *codec.internal_key_parts(F.col("h"))).collect())
+    short = spark.createDataFrame([("00" * 7,), ("02" + "00" * 7,)], "h string").select(*codec.internal_key_parts(F.col("h"))).collect()
+    assert all(x is None for r in short for x in r)
+
+
+def cut_one_by_one(rows, limit):
+    file, filled, out = 1, 0, {}
+    for seq, size, key in sorted(rows):
+        if filled >= limit:
+            file, filled = file + 1, 0
+        filled += size
+        out[seq, size, key] = file
+    return out
+
+
+@pytest.mark.parametrize("chunk,fan_in", [(7, 2), (50, 3), (1000, 256)])
+def test_segments_in_a_tree(spark, chunk, fan_in):
+    r = random.Random(chunk)
+    rows = [(seq, r.choice([1, 5, 30, 90, 400]), f"k{i}") for seq in range(600) if seq // 40 != 7 for i in range(1 + (seq % 10 == 0))]  # a gap, and repeated numbers
+    df = spark.createDataFrame([(k, s, n) for s, n, k in rows], "user_key string, seq long, size long")
+    got = segments.reset_sum(df, F.col("size"), 200, chunk, fan_in).collect()
+    assert len(got) == len(rows) and {(x["seq"], x["size"], x["user_key"]): x["file_id"] for x in got} == cut_one_by_one(rows, 200)
+
+
+def test_few_steps_are_left_to_compose(spark):
+    r = random.Random(2)
+    rows = [(i, r.randrange(20, 60)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "seq long, bytes long").withColumn("node", F.floor(F.col("seq") / 2000).cast("long"))
+    steps = df.groupBy("node").applyInPandas(segments._summary(4096), segments.STEPS)
+    assert steps.count() < 10 * 4096 / 40 / 2  # not half of the rows that fit in one file, for each chunk
+
+
+def test_percentiles_in_ranges(spark):
+    r = random.Random(3)
+    rows = [(g, r.choice([r.random(), 7.0, r.gauss(0, 1000)])) for g in ("a", "b", None) for _ in range(500)] + [("c", None), ("d", 5.0), ("a", None)]
+    got = {x["g"]: tuple(x)[1:] for x in metrics.nearest_rank(spark.createDataFrame(rows, "g string, v double"), ["g"], "v").collect()}
+    for g in {g for g, _ in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert got[g] == (len(v), *((v[math.ceil(p * len(v)) - 1] if v else 0) for p in (0.5, 0.99, 0.999)))
+
+
+def test_results_come_back_as_they_were(spark, tmp_path):
+    schema = "name string, x double, n long, empty string"
+    rows = [('a "quoted", b', 0.1 + 0.2, 1, ""), ("two\nlines", 1e-300, None, None), ("", math.pi, 2**60, "x"), (None, -0.0, 0, "\\")]
+    df = spark.createDataFrame(rows, schema)
+    results.write_csv(df, f"{tmp_path}/csv")
+    results.write_json(df, f"{tmp_path}/json")
+    for back in (results.read_csv(spark, f"{tmp_path}/csv", schema), results.read_json(spark, f"{tmp_path}/json", schema)):
+        assert sorted(map(str, map(tuple, back.collect()))) == sorted(map(str, rows))
+    with pytest.raises(Exception):  # noqa: B017
+        results.read_csv(spark, f"{tmp_path}/csv", "other string, x double, n long, empty string").collect()
+
+
+def test_compaction_to_a_fixpoint(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(f, 0 if f < 6 else 1, f"k{k:02d}", f * 100 + k, 1, "v") for f in range(9) for k in sorted(r.sample(range(40), 9))]
+    df = spark.createDataFrame(rows, "file_id long, level int, user_key string, seq long, op int, value string")
+    n = iter(range(1000))
+
+    def store(x):
+        path = f"{tmp_path}/{next(n)}"
+        x.write.parquet(path)
+        return spark.read.schema(x.schema).parquet(path)
+
+    plan = lambda x: compaction.leveled_l0_plan(runs.manifest(x), 2)
+    out = compaction.to_fixpoint(df, plan, store, 100)
+    newest = {}
+    for row in rows:
+        if row[3] > newest.get(row[2], (0,))[0]:
+            newest[row[2]] = (row[3],)
+    left = out.collect()
+    assert all(x["level"] == 1 for x in left) and {x["user_key"]: x["seq"] for x in left if x["file_id"] >= 100} == {k: v[0] for k, v in newest.items() if k in {x["user_key"] for x in left if x["file_id"] >= 100}}
+    bounds = sorted((min(x["user_key"] for x in left if x["file_id"] == f), max(x["user_key"] for x in left if x["file_id"] == f)) for f in {x["file_id"] for x in left})
+    assert all(a[1] < b[0] for a, b in zip(bounds, bounds[1:], strict=False))
+
+
+def test_a_missing_bound_rules_nothing_out(spark):
+    files = spark.createDataFrame([(1, "b", "d"), (2, None, "c"), (3, "c", None)], "file_id long, smallest_key string, largest_key string")
+    got = {x["user_key"]: x["candidates"] for x in runs.range_pruning(spark.createDataFrame([("a",), ("c",), ("e",)], "user_key string"), files).collect()}
+    assert got == {"a": 1, "c": 3, "e": 1}
+    assert compaction.level_capacity(5000, 40) == 2**64 - 1
+    with pytest.raises(OverflowError):
+        compaction.base_size(2**62, 4)
