@@ -84,11 +84,11 @@ def repeated_windows(texts: DataFrame, docs: DataFrame, window: int, most_freque
         repeated = rows.select("key", "doc_id", "parts", F.count("*").over(of_part).alias("n")).where("n > 1 OR parts > 0")
         known = repeated.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
         rows = map_packed(texts.join(known, "doc_id"), extend(lengths[k - 1], length, k == 1), schema)
-    found = rows.select("key", "doc_id", "parts", F.min("doc_id").over(of_part).alias("least")).where("doc_id > least OR parts > 0")
-    frequent = found.where("parts > 0")
-    least = rows.where("parts > 0").groupBy("key").agg(F.min("doc_id").alias("first"))  # at most most_frequent rows, aggregated before they are sent
-    # That a part's least is asked for too, which is always so, keeps both branches on one exchange.
-    later = found.where("parts = 0").select("key", "doc_id").unionByName(frequent.join(least, "key").where("doc_id > first AND least >= first").select("key", "doc_id"))
+    # In a part all but its least id are later ones; the least ids of a frequent window's parts are compared with each other.
+    found = rows.select("key", "doc_id", "parts", F.min("doc_id").over(of_part).alias("least"))
+    # Both branches ask for the same columns (parts is never below 0), so that one exchange serves them.
+    leasts = found.where("doc_id = least AND parts > 0").select("key", "doc_id", F.min("least").over(Window.partitionBy("key")).alias("least")).where("doc_id > least")
+    later = found.where("doc_id > least AND parts >= 0").select("key", "doc_id", "least").unionByName(leasts)
     return later.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
 
 
