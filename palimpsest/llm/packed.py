@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.checkpoints import Tables
-from palimpsest.llm.sampling import bounded_sample
 
 
 def pack_column(text: pa.Array) -> pa.Array:
@@ -136,30 +135,3 @@ def frequent_keys(texts: DataFrame, keys_of: Callable, most: int, lower: bool =
     top = texts.select("packed").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(most).toArrow()
     keys, counts = (top.column(i).to_numpy()[::-1].astype(np.int64) for i in (0, 1))
     return keys.view(np.uint64), counts
-
-
-def frequent_in_sample(docs: DataFrame, keys_of: Callable, most: int, rows: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """frequent_keys() of about so many distinct texts, chosen by hash, and about how many of all rows have each.
-
-    It tells which keys are so frequent that their rows should be dealt in parts. No result depends on it.
-    """
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.xxhash64(F.col("text").cast("string")).alias("tag"), F.col("text").cast("binary").alias("text"))
-    n = texts.count()
-    sample = bounded_sample(texts, "tag", rows)
-    pack = lambda batches: (pa.record_batch([pack_column(b.column(0))], ["packed"]) for b in batches)
-    keys, counts = frequent_keys(sample.select("text").mapInArrow(pack, "packed binary"), keys_of, most)
-    return keys, (counts * max(1.0, n / rows)).astype(np.int64)
-
-
-def part_counts(frequent: tuple[np.ndarray, np.ndarray], rows: int) -> Callable[[np.ndarray], np.ndarray]:
-    """A function from keys to the number of parts, of about so many rows, that each is dealt in: 0 for keys that are not frequent."""
-    order = np.argsort(frequent[0])
-    known, parts = frequent[0][order], np.maximum(1, -(-frequent[1][order] // rows))
-
-    def of(keys: np.ndarray) -> np.ndarray:
-        if not len(known):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, parts[at], 0).astype(np.int64)
-
-    return of
