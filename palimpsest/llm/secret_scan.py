@@ -103,8 +103,9 @@ def matches(text: Column, pattern: str, kind: int, keep) -> Column:
 def scan(docs: DataFrame, ratios: list[float], margin: float = 12.0) -> DataFrame:
     """All columns of docs (as given), then base and spans: arrays of (start, kind, end), kind being a place in KINDS.
 
-    The fixed rules give base. A run of 16 or more identifier characters that touches no base span, has a digit, and is
-    likelier under the random model by the margin (natural log), is added as kind random.
+    The fixed rules give base. A run of 16 or more identifier characters that is likelier under the random model by the
+    margin (natural log), with or without digits, is added as kind random, unless it lies within one base span; one that
+    a base span covers in part is added whole, so spans of different kinds may overlap.
 
     Null text counts as empty and gives empty arrays. Offsets count code points, ends are exclusive. Spans are in order
     of start, then kind. Columns of docs named base or spans are replaced.
@@ -120,10 +121,23 @@ def scan(docs: DataFrame, ratios: list[float], margin: float = 12.0) -> DataFram
             matches(text, HEX, 2, every),
         )
     )
-    random = matches(text, CANDIDATE, 3, lambda m: m.rlike("[0-9]") & (likelihood_ratio(m, ratios) >= margin))
-    alone = F.filter("random_", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+    random = matches(text, CANDIDATE, 3, lambda m: likelihood_ratio(m, ratios) >= margin)
     out = docs.withColumn("base", base).withColumn("random_", random)
-    return out.withColumn("spans", F.array_sort(F.concat("base", alone))).drop("random_")
+    return out.withColumn("spans", F.when(F.size("random_") > 0, _uncovered(F.array_sort(F.concat("base", "random_")))).otherwise(F.col("base"))).drop("random_")
+
+
+def _uncovered(spans: Column) -> Column:
+    """Spans in order, without random ones that lie within a base span: one that reaches as far and starts no later."""
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    zero = F.struct(F.lit(0).alias("reach"), none.alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fixed = s["kind"] < 3
+        reach = F.when(fixed, F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"])
+        keep = fixed | (s["end"] > acc["reach"])
+        return F.struct(reach.alias("reach"), F.when(keep, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(spans, zero, step, lambda acc: acc["out"])
 
 
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:

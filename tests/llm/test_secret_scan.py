@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -55,6 +58,65 @@ def test_random_strings_are_added_and_identifiers_are_not(scanned):
     assert all(set(map(tuple, r["base"])) <= set(map(tuple, r["spans"])) for r in scanned)
 
 
+def brute_ratios(samples, smoothing=0.5, prior=5.0):
+    """Pair of characters ('' before the first, '?' for any other) to its log-likelihood ratio."""
+    letters = ["", *S.ALPHABET, "?"]
+    of = lambda c: c if c in S.ALPHABET else "?"
+    logs = {}
+    for kind in (True, False):
+        pairs = Counter(p for t, k in samples if k == kind for p in zip(["", *map(of, t)], map(of, t), strict=False))
+        first, second = Counter(), Counter()
+        for (a, b), n in pairs.items():
+            first[a] += n
+            second[b] += n
+        total = sum(smoothing + second[b] for b in letters)
+        for a in letters:
+            for b in letters:
+                logs[kind, a, b] = math.log((pairs[a, b] + prior * (smoothing + second[b]) / total) / (first[a] + prior))
+    return {(a, b): logs[True, a, b] - logs[False, a, b] for a in letters for b in letters}
+
+
+def brute_random(text, ratio):
+    """Runs that the models call random and no one base span holds."""
+    base = brute(text)
+    out = []
+    for m in re.finditer(S.CANDIDATE, text or ""):
+        score = sum(ratio[p] for p in zip(["", *m[0]], m[0], strict=False))
+        if score >= 12 and not any(a <= m.start() and m.end() <= b for a, _, b in base):
+            out.append((m.start(), 3, m.end()))
+    return out
+
+
+def test_ratios_and_random_spans_against_python(spark):
+    docs = spark.createDataFrame([(i, "reading configuration values and ordinary identifier names with some long words in a path while " * 3) for i in range(9)], "doc_id long, text string")
+    samples = S.labelled_samples(docs, randoms=500)
+    expected = brute_ratios([tuple(r) for r in samples.collect()])
+    letters = ["", *S.ALPHABET, "?"]
+    table = S.train(samples)
+    assert all(abs(table[i * S.STATES + j] - expected[a, b]) < 1e-3 for i, a in enumerate(letters) for j, b in enumerate(letters))
+    r = random.Random(3)
+    noise = lambda alphabet: "".join(r.choice(alphabet) for _ in range(r.randrange(12, 40)))
+    words = ["reading", "configurationValues", "ordinary_identifier_names", "some-long/path/while", "token: "]
+    texts = [" ".join(r.choice([r.choice(words), noise(S.ALPHABET), noise(S.ALPHABET[:52]), noise("0123456789abcdef"), noise(S.ALPHABET[:62]) + noise("0123456789abcdef")]) for _ in range(12)) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rounded = {(a, b): table[i * S.STATES + j] for i, a in enumerate(letters) for j, b in enumerate(letters)}
+    kinds = set()
+    for row in S.scan(df, table).collect():
+        t = texts[row["doc_id"]]
+        assert [tuple(s) for s in row["spans"]] == sorted(brute(t) + brute_random(t, rounded))
+        kinds |= {s["kind"] for s in row["spans"]}
+    assert {2, 3} <= kinds
+
+
+def test_letters_alone_and_partly_covered_runs(spark):
+    texts = {1: "key xQzvKwPjTqRgXbNcVhYd end", 2: "see Zq8XvKw2Pj0123456789abcdefTqRgXbNc end", 3: "token=Zq8XvKw2PjTqRgXbNcVh"}
+    out = {r["doc_id"]: r for r in S.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), ratios(spark)).collect()}
+    spans = lambda i: [(S.KINDS[s["kind"]], texts[i][s["start"] : s["end"]]) for s in out[i]["spans"]]
+    assert spans(1) == [("random", "xQzvKwPjTqRgXbNcVhYd")]
+    assert spans(2) == [("random", "Zq8XvKw2Pj0123456789abcdefTqRgXbNc"), ("hex", "0123456789abcdef")]
+    assert spans(3) == [("assign", texts[3])]
+
+
 def test_digest_and_redaction(spark):
     df = spark.createDataFrame([(i, t, 9, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long, spans string")
     for r in S.secret_digest(df).collect():
