@@ -128,6 +128,11 @@ def bloom_bytes(keys: Column, bits_per_key: int | Column) -> Column:
     return F.ceil(F.greatest(F.lit(64), keys * bits_per_key) / 8).cast("long")
 
 
+def bloom_size(keys: int, bits_per_key: int) -> int:
+    """Bits of the same array, for a number."""
+    return -(-max(64, keys * bits_per_key) // 8) * 8
+
+
 def best_hash_count(bits_per_key: Column) -> Column:
     return F.when(bits_per_key >= 44, 30).otherwise(F.least(F.greatest(F.round(bits_per_key * F.log(F.lit(2.0))), F.lit(1)), F.lit(30))).cast("int")
 

@@ -80,33 +80,36 @@ def range_pruning(keys: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def bloom_filters(runs: DataFrame, bits_per_key: int, hashes: int) -> DataFrame:
-    """(file_id, m, bits): a bit array of each run's distinct keys, whose size was counted first."""
+    """(file_id, m, bits): a packed bit array of each run's distinct keys. A run holds what filled one memtable, so it fits in a task."""
     keys = runs.select("file_id", "user_key").distinct()
-    sizes = keys.groupBy("file_id").agg((codec.bloom_bytes(F.count("*"), bits_per_key) * 8).alias("m"))
 
-    def positions(batches):
-        for pdf in batches:
-            at = codec.bloom_positions(pdf["user_key"], pdf["m"].to_numpy(), hashes) if len(pdf) else np.zeros((0, hashes), np.int64)
-            yield pd.DataFrame({"file_id": np.repeat(pdf["file_id"].to_numpy(), hashes), "m": np.repeat(pdf["m"].to_numpy(), hashes), "bit": at.ravel()})
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = codec.bloom_size(len(pdf), bits_per_key)
+        bits = np.zeros(m, np.uint8)
+        bits[codec.bloom_positions(pdf["user_key"], m, hashes).ravel()] = 1
+        return pd.DataFrame({"file_id": pdf["file_id"].iloc[:1], "m": [m], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    return keys.groupBy("file_id").applyInPandas(build, "file_id long, m long, bits binary")
 
-    return keys.join(sizes, "file_id").mapInPandas(positions, "file_id long, m long, bit long").distinct()
 
+def bloom_prune(keys: DataFrame, runs: DataFrame, bits_per_key: int = 10, hashes: int = 7, block_keys: int = 4096) -> DataFrame:
+    """(user_key, file_id, maybe, present): whether a run's filter lets a key pass, and whether the run has it.
 
-def bloom_prune(keys: DataFrame, runs: DataFrame, bits_per_key: int = 10, hashes: int = 7) -> DataFrame:
-    """(user_key, file_id, maybe, present): whether a run's filter lets a key pass, and whether the run has it."""
-    filters = bloom_filters(runs, bits_per_key, hashes)
-    sizes = filters.select("file_id", "m").distinct()
-    asked = keys.select("user_key").distinct().join(F.broadcast(sizes))
+    Asked keys meet the filters in blocks of about so many keys. Null keys are not asked for.
+    """
+    asked = keys.select("user_key").where("user_key IS NOT NULL").distinct()
+    blocks = max(1, -(-asked.count() // block_keys))
+    asked = asked.groupBy(F.pmod(F.xxhash64("user_key"), F.lit(blocks)).alias("block")).agg(F.collect_list("user_key").alias("keys")).select("keys")
 
-    def positions(batches):
+    def probe(batches):
         for pdf in batches:
-            at = codec.bloom_positions(pdf["user_key"], pdf["m"].to_numpy(), hashes) if len(pdf) else np.zeros((0, hashes), np.int64)
-            repeat = lambda c: np.repeat(pdf[c].to_numpy(), hashes)  # noqa: E731, B023
-            yield pd.DataFrame({"user_key": repeat("user_key"), "file_id": repeat("file_id"), "bit": at.ravel()}).drop_duplicates()
+            for file_id, m, bits, block in zip(pdf["file_id"], pdf["m"], pdf["bits"], pdf["keys"], strict=True):
+                names = pd.Series(block)
+                at, held = codec.bloom_positions(names, m, hashes), np.frombuffer(bits, np.uint8)
+                yield pd.DataFrame({"user_key": names, "file_id": file_id, "maybe": (held[at >> 3] >> (at & 7) & 1).all(1)})
 
-    probes = asked.mapInPandas(positions, "user_key string, file_id long, bit long")
-    set_bits = filters.select("file_id", "bit", F.lit(1).alias("set"))
-    passed = probes.join(set_bits, ["file_id", "bit"], "left").groupBy("user_key", "file_id").agg((F.count("*") == F.count("set")).alias("maybe"))
+    probes = bloom_filters(runs, bits_per_key, hashes).crossJoin(asked)
+    passed = probes.mapInPandas(probe, "user_key string, file_id long, maybe boolean")
     held = runs.select("user_key", "file_id").distinct().withColumn("present", F.lit(True))
     return passed.join(held, ["user_key", "file_id"], "left").select("user_key", "file_id", "maybe", F.coalesce("present", F.lit(False)).alias("present"))
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from palimpsest.functions import codec
 from palimpsest.operators import compaction, frames, metrics, runs, versions, workload
 from palimpsest.plans import oplog
+from palimpsest.sources import scratch
 from palimpsest.streaming import changelog
 
 LIMIT, BLOCK, CHUNK = 4096, 512, 4000
@@ -57,7 +58,8 @@ LEVELS = RUNS + """,
 leveled AS (SELECT file_id, CASE WHEN file_id % 7 = 0 THEN 2 WHEN file_id % 3 = 0 THEN 1 ELSE 0 END AS level, low.a AS smallest_key, high.a AS largest_key, data_bytes FROM files)
 """
 
-KEYS = "asked AS (SELECT 'u' || lpad(CAST(i AS VARCHAR), 6, '0') AS user_key FROM range(200) t(i))"
+# Lookups ask for every key of the log, and for as many that it does not hold.
+KEYS = "asked AS (SELECT user_key FROM newest UNION ALL SELECT user_key || 'x' FROM newest)"
 
 
 def query(sql: str | None = None):
@@ -74,8 +76,9 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.form_runs(oplog.from_events(spark, sf_dir), LIMIT, CHUNK)
 
 
-def _keys(spark: SparkSession, n: int = 200) -> DataFrame:
-    return spark.range(n).select(F.concat(F.lit("u"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("user_key"))
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = oplog.from_events(spark, sf_dir).select("user_key").distinct()
+    return held.select(F.explode(F.array(F.col("user_key"), F.concat("user_key", F.lit("x")))).alias("user_key"))
 
 
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,21 +94,26 @@ def newest_versions(spark, sf_dir):
 
 @query(OPLOG + "SELECT user_key, value, row_number() OVER (ORDER BY user_key) AS pos FROM newest WHERE op = 1")
 def visible_scan(spark, sf_dir):
-    # positions come from per-partition counts, so that the ordered scan needs no single task
-    ordered = versions.scan(oplog.from_events(spark, sf_dir)).withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id() % (1 << 33))
+    # Positions come from per-partition counts, so that the ordered scan needs no single task. It is written once: two
+    # runs of a range sort need not cut at the same keys.
+    folder = scratch.folder(spark, "scan")
+    versions.scan(oplog.from_events(spark, sf_dir)).withColumn("part_", F.spark_partition_id()).withColumn("nth_", F.monotonically_increasing_id() % (1 << 33)).write.parquet(folder)
+    ordered = spark.read.parquet(folder)
     counts = ordered.groupBy("part_").agg(F.count("*").alias("n"))
     before = counts.select("part_", (F.sum("n").over(Window.orderBy("part_")) - F.col("n")).alias("before_"))
     return ordered.join(F.broadcast(before), "part_").select("user_key", "value", (F.col("before_") + F.col("nth_") + 1).alias("pos"))
 
 
-@query(OPLOG + "SELECT user_key, seq, op, value FROM oplog WHERE seq <= 500 QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, op DESC) = 1")
+@query(OPLOG + "SELECT user_key, seq, op, value FROM oplog WHERE seq <= (SELECT max(seq) // 2 FROM oplog) QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, op DESC) = 1")
 def as_of_scan(spark, sf_dir):
-    return versions.as_of(oplog.from_events(spark, sf_dir), 500)
+    log = oplog.from_events(spark, sf_dir)
+    half = (log.agg(F.max("seq")).first()[0] or 0) // 2
+    return versions.as_of(log, half)
 
 
 @query(OPLOG + f", {KEYS} SELECT a.user_key, CASE WHEN n.op IS NULL THEN 'NOT_FOUND' WHEN n.op = 0 THEN 'DELETED' ELSE 'FOUND' END AS status, n.value FROM asked a LEFT JOIN newest n USING (user_key)")
 def multi_get(spark, sf_dir):
-    return versions.multi_get(_keys(spark), oplog.from_events(spark, sf_dir))
+    return versions.multi_get(_keys(spark, sf_dir), oplog.from_events(spark, sf_dir))
 
 
 @query(OPLOG + "SELECT user_key, seq, op, row_number() OVER w AS age, lead(seq) OVER w AS older_seq, lag(seq) OVER w AS newer_seq, lead(value) OVER w AS older_value FROM oplog WINDOW w AS (PARTITION BY user_key ORDER BY seq DESC, op DESC)")
@@ -174,7 +182,7 @@ def block_index(spark, sf_dir):
 
 @query(ENTRIES + f", {KEYS} SELECT a.user_key, b.file_id, min(b.block_no) AS block_no FROM asked a JOIN blocks b ON b.last.a >= a.user_key GROUP BY a.user_key, b.file_id")
 def block_of_key(spark, sf_dir):
-    return runs.block_of_key(_keys(spark), runs.block_index(_runs(spark, sf_dir), BLOCK))
+    return runs.block_of_key(_keys(spark, sf_dir), runs.block_index(_runs(spark, sf_dir), BLOCK))
 
 
 @query(ENTRIES + f", per AS (SELECT file_id, count(*) AS blocks, CAST(sum(size) AS BIGINT) AS data_bytes, CAST(sum({VLEN.format('strlen(last.a) + 8')} + strlen(last.a) + 24) AS BIGINT) AS index_bytes FROM blocks GROUP BY file_id) SELECT file_id, blocks, p.data_bytes, index_bytes, CAST(ceil(greatest(64, distinct_keys * 10) / 8.0) AS BIGINT) + 12 AS filter_bytes, p.data_bytes + index_bytes + CAST(ceil(greatest(64, distinct_keys * 10) / 8.0) AS BIGINT) + 52 AS file_bytes FROM per p JOIN files USING (file_id)")
@@ -216,18 +224,18 @@ def leveled_overflow_plan(spark, sf_dir):
 
 @query(RUNS + f", {KEYS} SELECT a.user_key, count(f.file_id) AS candidates, (SELECT count(*) FROM files) AS runs FROM asked a LEFT JOIN files f ON a.user_key >= f.low.a AND a.user_key <= f.high.a GROUP BY a.user_key")
 def range_pruning(spark, sf_dir):
-    return runs.range_pruning(_keys(spark), runs.manifest(_runs(spark, sf_dir)))
+    return runs.range_pruning(_keys(spark, sf_dir), runs.manifest(_runs(spark, sf_dir)))
 
 
 @query(RUNS + f", {KEYS}, hit AS (SELECT user_key, file_id, op FROM runs QUALIFY row_number() OVER (PARTITION BY user_key ORDER BY file_id DESC, seq DESC, op DESC) = 1) SELECT a.user_key, h.file_id, CASE WHEN h.op IS NULL THEN NULL ELSE 0 END AS level, CASE WHEN h.op IS NULL THEN 'NOT_FOUND' WHEN h.op = 0 THEN 'DELETED' ELSE 'FOUND' END AS status FROM asked a LEFT JOIN hit h USING (user_key)")
 def first_source(spark, sf_dir):
-    return versions.first_source(_keys(spark), _runs(spark, sf_dir))
+    return versions.first_source(_keys(spark, sf_dir), _runs(spark, sf_dir))
 
 
 @query(RUNS + f", {KEYS} SELECT a.user_key, f.file_id, EXISTS (SELECT 1 FROM runs r WHERE r.user_key = a.user_key AND r.file_id = f.file_id) AS present, true AS sound FROM asked a, files f")
 def bloom_prune(spark, sf_dir):
     # which absent keys a filter lets pass is its own affair; none that a run holds may be stopped
-    out = runs.bloom_prune(_keys(spark), _runs(spark, sf_dir))
+    out = runs.bloom_prune(_keys(spark, sf_dir), _runs(spark, sf_dir))
     return out.select("user_key", "file_id", "present", (F.col("maybe") | ~F.col("present")).alias("sound"))
 
 
@@ -260,7 +268,7 @@ def rates(spark, sf_dir):
 
 UNIFORM = "(('0x' || substr(md5('42:{0}:' || CAST(i AS VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0)"
 OPERATION = f"""
-WITH base AS (SELECT i, {UNIFORM.format('op')} * 100 AS u, {UNIFORM.format('key')} AS ku, {UNIFORM.format('size')} AS su FROM range(20000) t(i)),
+WITH base AS (SELECT i, {UNIFORM.format('op')} * 100 AS u, {UNIFORM.format('key')} AS ku, {UNIFORM.format('size')} AS su FROM range(100000) t(i)),
 kinds AS (SELECT *, CASE WHEN u < 80 THEN 'read' WHEN u < 95 THEN 'write' ELSE 'delete' END AS type FROM base)
 """
 PUTS = "SELECT i AS op_index, type, 'key' || lpad(CAST({0} AS VARCHAR), 20, '0') AS key, CASE WHEN type = 'write' THEN repeat(chr(CAST(97 + i % 26 AS INT)), CAST(4 + floor(su * 9) AS INT)) ELSE '' END AS value FROM {1}"
@@ -268,7 +276,7 @@ WEIGHTS = "SELECT i AS rank, 1.0 / power(CAST(i + 1 AS DOUBLE), 0.99) AS w FROM
 
 
 def _workload(spark: SparkSession, distribution: str) -> DataFrame:
-    return workload.operations(spark, workload.Workload(20_000, 1000, distribution=distribution))
+    return workload.operations(spark, workload.Workload(100_000, 1000, distribution=distribution))
 
 
 @query(OPERATION + PUTS.format("CAST(floor(ku * 1000) AS BIGINT)", "kinds"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.plans.oplog import events_as_oplog
+from palimpsest.sources import scratch
 
 
 def newest(log: DataFrame) -> DataFrame:
@@ -20,13 +18,9 @@ def newest(log: DataFrame) -> DataFrame:
     return log.groupBy("user_key").agg(best).select("user_key", "best.seq", "best.op", "best.value")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/stream-{uuid.uuid4().hex}"
-
-
 def newest_by_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
     """Runs the stream over the files there are, then reads what it left: every trigger appends the keys it changed, under its number."""
-    folder = shared_folder(spark)
+    folder = scratch.folder(spark, "stream")
     source = spark.read.parquet(f"{sf_dir}/events.parquet")
     events = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events.parquet*")
 
