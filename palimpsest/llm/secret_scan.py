@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.functions.codec import let
 from palimpsest.llm.sampling import bounded_sample
 
 # The rules every scan applies, by kind and in this order.
@@ -83,21 +84,48 @@ def likelihood_ratio(token: Column, ratios: list[float]) -> Column:
     return F.aggregate(F.split(token, ""), start, step, lambda acc: acc["sum"])
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+PIECE = 256  # items folded before their results are set aside; any size gives the same result
+
+
+def folded(items: Column, kind: str, step, aside=lambda at, piece: at) -> Column:
+    """What step(at, item, aside) gives for each item, one array after the other, of the type kind.
+
+    step returns the next at, a number that starts as 0, and an array. Results are gathered by pieces of items, so that an
+    item copies those of its own piece and not all before it; aside(at, piece) is computed once a piece.
+    """
+    none = F.array().cast(kind)
+
+    def one(acc: Column, x: Column) -> Column:
+        at, out = step(acc["at"], x, acc["aside"])
+        return F.struct(at.alias("at"), F.concat(acc["out"], out).alias("out"), acc["aside"].alias("aside"), acc["done"].alias("done"))
+
+    def piece(acc: Column, xs: Column) -> Column:
+        zero = F.struct(acc["at"].alias("at"), none.alias("out"), aside(acc["at"], xs).alias("aside"), acc["done"].alias("done"))
+        return F.aggregate(xs, zero, one, lambda end: F.struct(end["at"].alias("at"), F.concat(end["done"], F.array(end["out"])).alias("done")))
+
+    def pieces(all_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), ((F.size(all_) - 1) / PIECE).cast("int")), lambda i: F.slice(all_, i * PIECE + 1, PIECE))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("done"))
+    return F.aggregate(let(items, pieces), zero, piece, lambda acc: F.flatten(acc["done"]))
+
+
 def matches(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans (start, kind, end) of the leftmost non-overlapping matches that keep() accepts, in code points."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    none = F.array().cast(SPANS)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def step(at: Column, x: Column, _) -> tuple[Column, Column]:
+        start = at + F.length(x["gap"])
         end = start + F.coalesce(F.length(x["found"]), F.lit(0))
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        hit = x["found"].isNotNull() & keep(x["found"])
-        return F.struct(end.alias("at"), F.when(hit, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        return end, F.when(x["found"].isNotNull() & keep(x["found"]), F.array(span)).otherwise(none)
+
+    def spans(found: Column) -> Column:
+        pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"))
+        return F.when(F.size(found) > 0, folded(pairs, SPANS, step)).otherwise(none)
 
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("found"))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["spans"])).otherwise(none)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), spans)
 
 
 def scan(docs: DataFrame, ratios: list[float], margin: float = 12.0) -> DataFrame:
@@ -108,12 +136,13 @@ def scan(docs: DataFrame, ratios: list[float], margin: float = 12.0) -> DataFram
     a base span covers in part is added whole, so spans of different kinds may overlap.
 
     Null text counts as empty and gives empty arrays. Offsets count code points, ends are exclusive. Spans are in order
-    of start, then kind. Columns of docs named base or spans are replaced.
+    of start, then kind. Columns of docs named base or spans are replaced. A text of n spans costs about n copied references
+    times the size of a piece, and n / PIECE more.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     long_enough = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= 12
     every = lambda m: F.lit(True)
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(SPANS)
     base = F.array_sort(
         F.concat(
             matches(text, ASSIGN, 0, long_enough),
@@ -128,29 +157,30 @@ def scan(docs: DataFrame, ratios: list[float], margin: float = 12.0) -> DataFram
 
 def _uncovered(spans: Column) -> Column:
     """Spans in order, without random ones that lie within a base span: one that reaches as far and starts no later."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    zero = F.struct(F.lit(0).alias("reach"), none.alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
+    def step(reach: Column, s: Column, _) -> tuple[Column, Column]:
         fixed = s["kind"] < 3
-        reach = F.when(fixed, F.greatest(acc["reach"], s["end"])).otherwise(acc["reach"])
-        keep = fixed | (s["end"] > acc["reach"])
-        return F.struct(reach.alias("reach"), F.when(keep, F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out"))
+        keep = fixed | (s["end"] > reach)
+        return F.when(fixed, F.greatest(reach, s["end"])).otherwise(reach), F.when(keep, F.array(s)).otherwise(F.array().cast(SPANS))
 
-    return F.aggregate(spans, zero, step, lambda acc: acc["out"])
+    return folded(spans, SPANS, step)
 
 
 def redact(text: Column, spans: Column, mark: str = "<SECRET>") -> Column:
     """The text with each span, or each run of overlapping spans, replaced by the mark."""
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    ends = lambda piece: F.array_max(F.transform(piece, lambda s: s["end"]))
+
+    def part(at: Column, piece: Column) -> Column:
+        """The part of the text that a piece of spans is about, and where it starts: places are counted from there."""
+        return F.struct(at.alias("from"), F.substring(text, at + 1, F.greatest(ends(piece) - at, F.lit(0))).alias("text"))
 
-    def step(acc: Column, s: Column) -> Column:
-        apart = (s["start"] > acc["at"]) | (acc["at"] == 0)
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(apart, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, s: Column, part: Column) -> tuple[Column, Column]:
+        apart = (s["start"] > at) | (at == 0)
+        gap = F.substring(part["text"], at - part["from"] + 1, F.greatest(s["start"] - at, F.lit(0)))
+        return F.greatest(at, s["end"]), F.when(apart, F.array(gap, F.lit(mark))).otherwise(F.array().cast("array<string>"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, zero, step, rest)).otherwise(text)
+    rest = F.substring(text, ends(spans) + 1, F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.array_join(folded(spans, "array<string>", step, part), ""), rest)).otherwise(text)
 
 
 def span_list(spans: Column) -> Column:

@@ -130,3 +130,30 @@ def test_digest_and_redaction(spark):
 
 def test_empty_table(spark):
     assert S.secret_digest(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_many_spans_in_one_text(spark):
+    r = random.Random(5)
+    noise = ["".join(r.choice(S.ALPHABET[:62]) for _ in range(20)) for _ in range(6000)]
+    long = " ".join(f"\U0001f600 {x} {'0123456789abcdef' * 2}{'' if i % 7 else ' token=' + x}" for i, x in enumerate(noise))
+    texts = {1: long, 2: "", 3: " ".join(["0123456789abcdef"] * S.PIECE), 4: " ".join(["0123456789abcdef"] * (S.PIECE + 1))}
+    table = ratios(spark)
+    ratio = {(a, b): table[i * S.STATES + j] for i, a in enumerate(["", *S.ALPHABET]) for j, b in enumerate(["", *S.ALPHABET])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = S.scan(df, table)
+    for row in found.withColumn("clean", S.redact(found.text, found.spans)).collect():
+        t = texts[row["doc_id"]]
+        base = brute(t)
+        reach, kept, top = 0, [], 0
+        for a, k, b in sorted(base + [(m.start(), 3, m.end()) for m in re.finditer(S.CANDIDATE, t) if sum(ratio[p] for p in zip(["", *m[0]], m[0], strict=False)) >= 12]):
+            if k < 3 or b > reach:
+                kept.append((a, k, b))
+            reach = max(reach, b) if k < 3 else reach
+        assert [tuple(s) for s in row["spans"]] == kept
+        clean = []
+        for a, _, b in kept:
+            if a > top or not top:
+                clean += [t[top:a], "<SECRET>"]
+            top = max(top, b)
+        assert row["clean"] == "".join(clean) + t[top:]
+    assert len(kept) > S.PIECE
