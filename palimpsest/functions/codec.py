@@ -141,6 +141,40 @@ def format_key(n: Column) -> Column:
     return F.concat(F.lit("key"), F.lpad(n.cast("string"), 20, "0"))
 
 
+def strict_unsigned(s: Column, highest: int = (1 << 64) - 1) -> Column:
+    """The number that a string of digits alone writes, leading zeros allowed; null for anything else and beyond the highest."""
+    number = F.regexp_replace(s, "^0+(?=[0-9])", "").try_cast("decimal(20,0)")
+    return F.when(s.rlike("\\A[0-9]+\\z") & (number <= F.lit(str(highest)).cast("decimal(20,0)")), number)
+
+
+def operation_key(n: Column) -> Column:
+    """The key under which a crash test writes operation n."""
+    return F.concat(F.lit("key_"), F.lpad(n.cast("string"), 20, "0"))
+
+
+def operation_value(n: Column, size: int = 512) -> Column:
+    """The value that belongs to it: the number, then one letter up to the size."""
+    return F.rpad(F.concat(F.lit("value_"), n.cast("string"), F.lit("_")), F.lit(size), F.char(97 + n % 26))
+
+
+def operation_of_key(key: Column) -> Column:
+    """The operation that such a key names; null for any other key and for operation 0."""
+    n = strict_unsigned(F.substr(key, F.lit(5)))
+    return F.when(key.startswith("key_") & (n > 0), n)
+
+
+def bloom_hex(hashes: Column, m: Column, bits: Column) -> Column:
+    """A filter as it is stored: the number of hashes in four bytes, that of bits in eight, then the bits."""
+    return F.concat(fixed_hex(hashes, 4), fixed_hex(m, 8), F.hex(bits))
+
+
+def bloom_from_hex(h: Column, most_hashes: int = 30) -> Column:
+    """A struct of hashes, m and bits; null if the header is short, the number of hashes not in 1 to the most, or the bits are too few or too many."""
+    hashes, m = fixed_from_hex(h, 4), fixed_from_hex(h.substr(F.lit(9), F.lit(16)), 8)
+    ok = hashes.between(1, most_hashes) & (F.length(h) == 24 + 2 * F.ceil(m / 8))
+    return F.when(ok, F.struct(hashes.cast("int").alias("hashes"), m.cast("long").alias("m"), F.unhex(h.substr(F.lit(25), F.length(h))).alias("bits")))
+
+
 def fnv1a(keys: pd.Series, seed: int = 0) -> np.ndarray:
     """Seeded 64-bit FNV-1a of each string, all strings byte by byte at once."""
     data = [k.encode() if isinstance(k, str) else bytes(k) for k in keys]

@@ -341,6 +341,36 @@ def varint_codec(spark, sf_dir):
     return coded.withColumn("decoded", codec.varint_from_hex(F.col("encoded")))
 
 
+@query("SELECT id, 'key_' || lpad(CAST(id AS VARCHAR), 20, '0') AS key, md5(rpad('value_' || CAST(id AS VARCHAR) || '_', 512, chr(CAST(97 + id % 26 AS INT)))) AS value_md5, CAST(id AS VARCHAR) AS parsed, CAST(NULL AS VARCHAR) AS cut FROM (SELECT event_id + 1 AS id FROM events)")
+def operation_keys(spark, sf_dir):
+    n = F.col("id")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("event_id") + 1).alias("id")).select("id", codec.operation_key(n).alias("key"), F.md5(codec.operation_value(n).cast("binary")).alias("value_md5"))
+    return rows.withColumns({"parsed": codec.operation_of_key(F.col("key")).cast("string"), "cut": codec.operation_of_key(F.substr("key", F.lit(2))).cast("string")})
+
+
+NUMERALS = "CASE event_id % 6 WHEN 0 THEN {0} WHEN 1 THEN concat('000', {0}) WHEN 2 THEN concat({0}, ' ') WHEN 3 THEN concat('+', {0}) WHEN 4 THEN concat('184467440737095516', {0}) ELSE '' END AS written"
+
+
+@query(f"WITH t AS (SELECT event_id AS id, {NUMERALS.format('CAST(event_id AS VARCHAR)')} FROM events) SELECT id, written, CASE WHEN regexp_full_match(written, '[0-9]+') AND TRY_CAST(written AS HUGEINT) <= 18446744073709551615::HUGEINT THEN CAST(CAST(written AS HUGEINT) AS VARCHAR) END AS parsed FROM t")
+def strict_numbers(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id AS id", NUMERALS.format("CAST(event_id AS STRING)"))
+    return rows.withColumn("parsed", codec.strict_unsigned(F.col("written")).cast("string"))
+
+
+M_BYTES = " || ".join(f"substr(printf('%016X', m), {15 - 2 * i}, 2)" for i in range(8))
+
+
+@query(RUNS + f", sized_ AS (SELECT file_id, CAST(ceil(greatest(64, distinct_keys * 10) / 8.0) AS BIGINT) * 8 AS m FROM files) SELECT file_id, '07000000' || {M_BYTES} AS header, m // 8 + 12 AS n_bytes, true AS same, false AS cut_is_read, false AS longer_is_read FROM sized_")
+def bloom_codec(spark, sf_dir):
+    filters = runs.bloom_filters(_runs(spark, sf_dir), 10, 7).withColumn("h", codec.bloom_hex(F.lit(7), F.col("m"), F.col("bits")))
+    read, h = codec.bloom_from_hex(F.col("h")), F.col("h")
+    return filters.select(
+        "file_id", F.substring("h", 1, 24).alias("header"), F.expr("length(h) div 2").alias("n_bytes"),
+        ((read["hashes"] == 7) & (read["m"] == F.col("m")) & (read["bits"] == F.col("bits"))).alias("same"),
+        codec.bloom_from_hex(h.substr(F.lit(1), F.length(h) - 2)).isNotNull().alias("cut_is_read"), codec.bloom_from_hex(F.concat(h, F.lit("00"))).isNotNull().alias("longer_is_read"),
+    )
+
+
 @query("SELECT i AS bits_per_key, CAST(CASE WHEN i >= 44 THEN 30 ELSE least(greatest(round(i * ln(2.0)), 1), 30) END AS INT) AS hashes FROM range(1, 61) t(i)")
 def best_hash_counts(spark, sf_dir):
     return spark.range(1, 61).select(F.col("id").alias("bits_per_key"), codec.best_hash_count(F.col("id")).alias("hashes"))

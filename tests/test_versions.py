@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from palimpsest.functions import codec
 from palimpsest.operators import compaction, metrics, runs, segments, versions
 from palimpsest.plans import oplog
+from palimpsest.streaming import changelog
 
 LOG = "user_key string, seq long, op int, value string"
 HISTORY = [("apple", 1, 1, "old"), ("banana", 2, 1, "yellow"), ("dog", 3, 1, "brown"), ("fig", 4, 1, "old"), ("fig", 5, 1, "new"), ("apple", 6, 1, "new"), ("banana", 7, 0, None), ("cat", 8, 1, "black"), ("grape", 9, 1, "green"), ("apple", 10, 1, "newest"), ("dog", 11, 0, None), ("eel", 12, 1, "white")]
@@ -90,3 +91,37 @@ def test_percentiles_and_ratios(spark):
     one = spark.createDataFrame([(300, 100, 100, 0)], "wal long, tables long, user long, none long")
     got = one.select(metrics.write_amplification(F.col("wal"), F.col("tables"), F.col("user")), metrics.space_amplification(F.col("tables"), F.col("none"))).first()
     assert tuple(got) == (4.0, 0.0)
+
+
+def test_numbers_keys_and_filters_of_the_wrong_form(spark):
+    told = {"0": "0", "007": "7", "18446744073709551615": "18446744073709551615", "0" * 40 + "1": "1", "18446744073709551616": None, "9" * 40: None, "": None, "-1": None, "+1": None, "1 ": None, "1\n": None, "0x1": None, "\u0661": None}
+    got = spark.createDataFrame(list(told.items()), "s string, n string").select("n", codec.strict_unsigned(F.col("s")).cast("string").alias("v")).collect()
+    assert [r["v"] for r in got] == [r["n"] for r in got]
+    keys = spark.createDataFrame([("key_00000000000000000012", "12"), ("key_5", "5"), ("key_0", None), ("key_", None), ("KEY_5", None), (None, None)], "k string, n string")
+    assert all(r["n"] == r["v"] for r in keys.select("n", codec.operation_of_key(F.col("k")).cast("string").alias("v")).collect())
+    bits = "0A000000" + "0000000000000000"
+    stored = {"07000000" + "4000000000000000" + "00" * 8: (7, 64), "07000000" + "4100000000000000" + "00" * 9: (7, 65), "1E000000" + "0" * 16: (30, 0), "1F000000" + "0" * 16: None, "0" * 24: None, bits[:-2]: None, "07000000" + "4000000000000000" + "00" * 7: None, "07000000" + "F" * 16: None, "": None}
+    read = spark.createDataFrame([(h,) for h in stored], "h string").select("h", codec.bloom_from_hex(F.col("h")).alias("f")).collect()
+    assert {r["h"]: r["f"] and (r["f"]["hashes"], r["f"]["m"]) for r in read} == stored
+
+
+def test_a_stream_stopped_between_write_and_commit_goes_on(spark, tmp_path):
+    versions_ = [(f"k{(seq * 7) % 11}", seq, seq % 5 and 1, f"v{seq}" if seq % 5 else None) for seq in range(60)]
+    order = sorted(versions_, key=lambda v: (v[1] * 37) % 60)  # late versions in every file
+    for i in range(6):
+        spark.createDataFrame(order[i::6], oplog.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "log"))
+    stream = lambda: spark.readStream.schema(oplog.SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    write, seen = changelog.batches_into(str(tmp_path)), []
+
+    def stopped(batch, number):
+        seen.append(number)
+        write(batch, number)
+        if number == 2:
+            raise RuntimeError("stopped after the write")
+
+    with pytest.raises(Exception, match="stopped after the write"):
+        changelog.run(stream(), str(tmp_path), stopped)
+    changelog.run(stream(), str(tmp_path), lambda batch, number: (seen.append(number), write(batch, number)))
+    assert seen == [0, 1, 2, 2, 3, 4, 5]
+    expected = versions.newest(spark.createDataFrame(versions_, oplog.SCHEMA))
+    assert sorted(map(tuple, changelog.result(spark, str(tmp_path)).collect())) == sorted(map(tuple, expected.select("user_key", "seq", "op", "value").collect()))
