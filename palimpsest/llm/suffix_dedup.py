@@ -239,16 +239,18 @@ def dedup_suffixes(docs: DataFrame, length: int = 200, bucket_rows: int = 8_000)
         alive = K.in_sets(a.row, a.keys, *_own(b, 2, first, first + len(ids)))
         return signed(a.keys[alive]), signed(a.contexts[alive]), ids[a.row[alive]].astype(np.int64)
 
-    # What is joined by gram or surroundings is a table first, so that Spark can split a frequent one.
+    # What is joined by gram or surroundings is a table first, so that Spark can split a frequent one. Packed originals
+    # are one too: a task that packs and unpacks in one stage has two Python workers.
     with Tables(docs.sparkSession) as tables:
         groups = text_groups(docs, tables)
-        texts = originals(packed, later_copies(groups))
+        texts = tables.write(originals(packed, later_copies(groups)))
         rows = _map(texts, first_keys, "key long, doc_id long")
         repeated = tables.write(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
         known = rows.join(repeated, "key").groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
         around = tables.write(_map(texts.join(known, "doc_id"), surroundings, "key long, context long, doc_id long"))
         members = tables.write(around.groupBy("key", "context").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")))
         found = repeated_offsets(texts, members, length, bucket_rows, tables)
+        tables.drop(texts)
 
         whole = around.join(found.where("whole").select("context"), "context").groupBy("doc_id").agg(F.collect_set("context").alias("whole"))
         part = members.where("n = 1").join(found.where("NOT whole"), "context").groupBy("doc_id").agg(F.collect_list("context").alias("part"), F.collect_list("offsets").alias("offsets"))

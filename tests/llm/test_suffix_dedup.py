@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from palimpsest.llm.checkpoints import Tables
 from palimpsest.llm.suffix_dedup import dedup_suffixes
 from palimpsest.llm.suffix_runs import common_prefix, decode, front_code, merge
 
@@ -71,3 +72,18 @@ def test_merge_of_front_coded_runs(runs):
     out = list(merge(coded))
     assert [s for _, _, s in out] == sorted(s for r in runs for s in r)
     assert all(n == common_prefix(a[2], b) for a, (_, n, b) in zip(out, out[1:]))
+
+
+def test_no_task_packs_and_unpacks(spark, monkeypatch):
+    plans, write = [], Tables.write
+
+    def seen(tables, df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(tables, df)
+
+    monkeypatch.setattr(Tables, "write", seen)
+    rows = [(1, "a" * 300), (2, "b" * 90 + "a" * 250), (3, "b" * 90), (None, "a" * 250), (4, None)]
+    got = dedup_suffixes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 300, 2: 250, 3: 0, None: 0, 4: 0}
+    assert any("MapInArrow pack(" in p for p in plans)
+    assert not any("MapInArrow pack(" in p and "MapInArrow run(" in p for p in plans)  # that takes two Python workers
