@@ -8,20 +8,34 @@ from pyspark.sql import functions as F
 from palimpsest.llm import decontaminate, jaccard_join, language_id, mixing, secret_scan
 from palimpsest.llm.checkpoints import Tables
 
+#: Rows of whole documents in one Arrow batch. Spark's default of 10,000 makes batches of tens of MB, which each task holds
+#: several times: in the JVM beside its heap, and in its Python worker. Batches bear on memory alone.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Stages are lazy, so the setting stays; a smaller one of the caller's is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
 
 def keep_recognised_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not recognised go."""
+    small_batches(spark)
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
     return language_id.recognised(docs, model)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that similarity links, the one with the smallest id stays."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

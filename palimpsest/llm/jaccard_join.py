@@ -151,18 +151,17 @@ def overlaps(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, size_a long, size_b long, overlap long")
 
 
-def _list_pairs(percent: int, rows_at_once: int = 100_000, pairs_at_once: int = 1_000_000):
+def _list_pairs(percent: int, rows_at_once: int = 100_000, pairs_at_once: int = 131_072):
     """Pairs of each index list: its rows, sorted, in blocks of one component, size and position; blocks that cannot reach the overlap are skipped whole."""
 
     def ranges(counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(i, number from 0) for counts[i] numbers of each i, not many more than pairs_at_once together."""
-        ends, at = np.cumsum(counts), 0
-        while at < len(counts):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + pairs_at_once, "right")))
-            part = counts[at:stop]
-            of = np.repeat(np.arange(at, stop), part)
-            yield of, np.arange(len(of)) - np.repeat(np.cumsum(part) - part, part)
-            at = stop
+        """(i, number from 0) for counts[i] numbers of each i, at most pairs_at_once together; those of one i may be divided."""
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        for at in range(0, total, pairs_at_once):
+            n = np.arange(at, min(at + pairs_at_once, total))
+            of = np.searchsorted(ends, n, "right")
+            yield of, n - (ends - counts)[of]
 
     def changes(*columns: np.ndarray) -> np.ndarray:
         new = np.ones(len(columns[0]), bool)

@@ -55,7 +55,7 @@ def letter_words(rows: list[int], lowered: list[str]) -> LetterWords:
     return LetterWords(points, starts, ends, row, K.range_hash(K.prefix_sums(points), starts, ends))
 
 
-def pieces(texts: pa.Array, limit: int = 1 << 20) -> Iterator[LetterWords]:
+def pieces(texts: pa.Array, limit: int = 1 << 18) -> Iterator[LetterWords]:
     """The words of a column of texts, about so many characters at a time; a longer text is cut at white space."""
     rows, lowered, size = [], [], 0
     for i, value in enumerate(texts):

@@ -107,6 +107,24 @@ def longs(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def repeated_keys(parts: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that come at least so many times in all parts, sorted, and their counts.
+
+    The parts are emptied and their keys sorted in place, so that a Python worker holds them twice at most.
+    """
+    keys = np.concatenate(parts)
+    parts.clear()
+    keys.sort()
+    last = len(keys) - least + 1
+    if last < 1:
+        return keys[:0], np.zeros(0, np.int64)
+    many = keys[:last] == keys[least - 1 :]
+    many[1:] &= keys[1:last] != keys[: last - 1]
+    first = np.flatnonzero(many)
+    found = keys[first]
+    return found, np.searchsorted(keys, found, "right") - first
+
+
 def frequent_keys(texts: DataFrame, keys_of: Callable, most: int, lower: bool = False, least: int = 3, together: int = 3_000_000) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent keys that keys_of(words) gives, rarest first, and their counts.
 
@@ -119,10 +137,8 @@ def frequent_keys(texts: DataFrame, keys_of: Callable, most: int, lower: bool =
         held: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            many = counts >= least
-            return pa.record_batch([pa.array(longs(keys[many])), pa.array(counts[many].astype(np.int64))], ["key", "n"])
+            keys, counts = repeated_keys(held, least)
+            return pa.record_batch([pa.array(longs(keys)), pa.array(counts.astype(np.int64))], ["key", "n"])
 
         for b in small_batches(batches):
             for w in words(unpack_texts(b.column(0)), lower=lower):

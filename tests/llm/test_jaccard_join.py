@@ -1,6 +1,9 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -9,7 +12,7 @@ from palimpsest.llm import jaccard_join
 from palimpsest.llm.checkpoints import Tables
 from palimpsest.llm.components import components
 from palimpsest.llm.jaccard_join import jaccard_classes
-from palimpsest.llm.packed import pack_texts
+from palimpsest.llm.packed import pack_texts, repeated_keys
 
 
 def shingles(text, n=5):
@@ -98,6 +101,30 @@ def test_answers_are_derived_both_ways(spark):
     assert sum(alike for *_, alike in told) > 20 and sum(not alike for *_, alike in told) > 20
 
 
+def test_pairs_of_two_large_blocks_are_made_in_bounded_pieces():
+    n, at = 700, (20 << 32)
+    rows = [(5, 0, 0, root, at, 10 * i + root) for root in (1, 2) for i in range(n)] + [(6, 0, 0, 3, at, 3)]
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows)], ["key", "x", "y", "root", "at", "doc_id"])
+    out = list(jaccard_join._list_pairs(75)(iter([batch])))
+    assert max(b.num_rows for b in out) <= 131_072  # was n * n
+    found = [p for b in out for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(found) == n * n and set(found) == {(min(x, y), max(x, y)) for x in range(1, 10 * n, 10) for y in range(2, 10 * n, 10)}
+
+
+def test_repeated_keys_are_counted_without_many_copies():
+    keys = np.random.default_rng(1).integers(0, 400_000, 1_000_000).astype(np.uint64)
+    every, counts = np.unique(keys, return_counts=True)
+    for least in (1, 3):
+        parts = [keys[:10].copy(), keys[10:].copy()]
+        tracemalloc.start()
+        found, n = repeated_keys(parts, least)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert (found == every[counts >= least]).all() and (n == counts[counts >= least]).all() and parts == []
+        assert most < 3 * keys.nbytes
+    assert [len(x) for x in repeated_keys([keys[:2]], 3)] == [0, 0]
+
+
 def test_lists_of_frequent_keys_are_dealt_in_parts(spark):
     r = random.Random(9)
     vocab = [f"w{i}" for i in range(3000)]

@@ -50,6 +50,20 @@ def test_each_stage_and_the_whole(spark, folder):
     assert all(len(re.findall(r"\S+", by[r["doc_id"]]["text"])) == r["n_tokens"] for r in out)
 
 
+def test_tasks_hold_small_batches(spark, folder):
+    path, _ = folder
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    before = spark.conf.get(key)
+    try:
+        for given, held in ((10_000, corpus_pipeline.BATCH_ROWS), (0, corpus_pipeline.BATCH_ROWS), (500, 500)):
+            spark.conf.set(key, given)
+            corpus_pipeline.drop_contaminated(spark, docs, path)
+            assert int(spark.conf.get(key)) == held
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
